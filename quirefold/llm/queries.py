@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter, warc
+from . import bpe, exact_dedup, language_id, mixing, toxicity, url_filter, warc
 from .common import LOWER, UPPER
 
 
@@ -15,6 +16,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, _table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(spark, _table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(spark, _table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "epoch", "block", "slot", "position")
 
@@ -23,6 +32,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(_table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixity drill: the pages' archive against a second replica with known damage, which the audit must locate."""
     pages = _table(spark, sf_dir, "pages")
@@ -30,7 +44,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity(spark, index, warc.drill(pages, index))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_mixing, op8_url_filter, op10_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_toxicity, op6_mixing, op8_url_filter, op9_byte_bpe, op10_warc_fixity)}
 
 ORACLES = {
     "op1_exact_dedup": f"""
