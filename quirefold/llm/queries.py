@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, toxicity, url_filter, warc
+from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, toxicity, url_filter, warc
 from .common import LOWER, UPPER
 
 
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(spark, _table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "epoch", "block", "slot", "position")
 
@@ -48,7 +52,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity(spark, index, warc.drill(pages, index))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op6_mixing, op8_url_filter, op9_byte_bpe, op10_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_embedding_dedup, op6_mixing, op8_url_filter, op9_byte_bpe, op10_warc_fixity)}
 
 ORACLES = {
     "op1_exact_dedup": f"""
