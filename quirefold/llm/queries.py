@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, toxicity, url_filter, warc
+from . import bpe, embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, near_dedup, toxicity, url_filter, warc
 from .common import LOWER, UPPER
 
 
@@ -36,6 +36,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(spark, _table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "epoch", "block", "slot", "position")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scoring(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity(spark, index, warc.drill(pages, index))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_embedding_dedup, op6_mixing, op8_url_filter, op9_byte_bpe, op10_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_embedding_dedup, op6_mixing, op7_lm_scoring, op8_url_filter, op9_byte_bpe, op10_warc_fixity)}
 
 ORACLES = {
     "op1_exact_dedup": f"""

@@ -24,19 +24,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _known = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the words [^ \\t-\\r]+ of a text's bytes, in order; A-Z lower-cased. Equal words have equal hashes."""
+def words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^ \\t-\\r]+ of a text's bytes, in order, and where they start; A-Z lower-cased. Equal words
+    have equal hashes."""
     data = np.frombuffer(raw, np.uint8)
     gap = SPACE[data]
     edge = np.diff(gap.astype(np.int8), prepend=1, append=1)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), start
     if _known["n"] < len(data) + 1:
         n = max(1 << 16, 2 * len(data) + 1)
         _known.update(n=n, up=_powers(BASE, n), down=_powers(INVERSE, n))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[data] * _known["up"][: len(data)])])
-    return mix((sums[end] - sums[start]) * _known["down"][start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix((sums[end] - sums[start]) * _known["down"][start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), start
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    return words_at(raw)[0]
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
