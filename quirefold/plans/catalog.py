@@ -1,5 +1,8 @@
 """Every query of the library with the SQL that gives the same rows."""
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import text_queries, token_queries
+
+PARTS = (text_queries, token_queries)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
