@@ -1,0 +1,199 @@
+import itertools
+import re
+import unicodedata
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quirefold.functions import text as T
+from quirefold.functions import udfs as U
+from quirefold.operators import flags as FL
+from quirefold.operators import layout as L
+from quirefold.operators import metrics as M
+from quirefold.operators import sampling as S
+from quirefold.streaming import limits
+
+
+def values(spark, texts, column, schema="text string"):
+    rows = [(i, *(t if isinstance(t, tuple) else (t,))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, " + schema)
+    return [r.out for r in df.select("i", column().alias("out")).orderBy("i").collect()]
+
+
+def slow_invalid(token):
+    """A state machine over code points, to check the pattern of classes."""
+    kind = {}
+    for letter, chars in T.CLASSES:
+        for lo, hi in re.findall(r"\\x\{(\w+)\}(?:-\\x\{(\w+)\})?", chars):
+            for c in range(int(lo, 16), int(hi or lo, 16) + 1):
+                kind[chr(c)] = letter
+    body = token.strip(T.PUNCT)
+    if "\ufffd" in token:
+        return True
+    if body and all(kind.get(c) == "M" for c in body):
+        return False
+    needs = {"V": "CN", "H": "CN", "N": "CN", "M": "CVNMI"}
+    before = "^"
+    for c in body:
+        k = kind.get(c, "O")
+        if k in needs and before not in needs[k]:
+            return True
+        before = k
+    return False
+
+
+def test_invalid_devanagari_is_the_state_machine(spark):
+    alphabet = "काि़्ंअa"
+    tokens = ["".join(t) for n in range(1, 5) for t in itertools.product(alphabet, repeat=n)]
+    got = values(spark, tokens, lambda: T.invalid_devanagari(F.col("text")))
+    assert got == [slow_invalid(t) for t in tokens]
+
+
+@pytest.mark.parametrize(("text", "tokens", "invalid"), [("हाँ किं", 2, 0), ("धारा ः", 2, 0), ("ो", 1, 1), ("a\ufffd क\ufffd", 1, 1), ("", 0, 0)])
+def test_validity(spark, text, tokens, invalid):
+    (got,) = values(spark, [text], lambda: T.devanagari_validity(F.col("text")))
+    assert (got.devanagari_tokens, got.invalid_tokens) == (tokens, invalid)
+
+
+def test_digit_string_and_digits(spark):
+    texts = ["रु. १२०.५०", "total: 1,200.00.", "none", "12-34 5"]
+    assert values(spark, texts, lambda: T.digit_string(F.col("text"))) == ["120.50", "1,200.00", "", "12-34 5"]
+    assert values(spark, texts, lambda: T.digits_only(F.col("text")))[0] == "१२०५०"
+
+
+def test_normalize_sees_unicode_space(spark):
+    texts = ["a\u00a0 \u2003b\r\n\r\n c ", " "]
+    assert values(spark, texts, lambda: T.normalize(F.col("text"))) == ["a b c", ""]
+    assert values(spark, ["a \r\n\n b\t\u00a0c "], lambda: T.normalize_lines(F.col("text"))) == ["a\nb c"]
+
+
+def test_error_rates(spark):
+    pairs = [("abc", "abd"), ("", ""), ("", "x"), ("a b", "b a"), ("é", "e")]
+    assert values(spark, pairs, lambda: T.cer(F.col("g"), F.col("h")), "g string, h string") == pytest.approx([1 / 3, 0, 1, 2 / 3, 1])
+    assert values(spark, pairs, lambda: T.cer_bag(F.col("g"), F.col("h")), "g string, h string")[3] == 0
+    native = values(spark, pairs, lambda: T.wer(F.col("g"), F.col("h")), "g string, h string")
+    assert native == values(spark, pairs, lambda: U.wer_words("g", "h"), "g string, h string") == [1, 0, 1, 1, 1]
+
+
+def test_word_edits_against_plain_table():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = (list(map(str, rng.integers(0, 4, rng.integers(0, 9)))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+            row = now
+        assert U.word_edits(a, b) == row[-1]
+
+
+def test_nfc(spark):
+    assert values(spark, ["e\u0301", None], lambda: U.nfc("text")) == [unicodedata.normalize("NFC", "e\u0301"), None]
+
+
+def test_flags_and_risk(spark):
+    df = spark.createDataFrame([("12", 50.0), ("12", 85.0), ("ab", 99.0), ("ि12", 70.0)], "text string, conf double")
+    got = [r.f for r in df.select(FL.flag_tokens(F.col("text"), F.col("conf")).alias("f")).collect()]
+    assert got == [["low_conf", "digit_uncertain"], [], [], ["digit_uncertain"]]
+    deva = [r.f for r in df.select(FL.flag_tokens(F.col("text"), F.col("conf"), devanagari=True).alias("f")).collect()]
+    assert deva[2] == ["script_mismatch"] and deva[3] == ["digit_uncertain", "invalid_sequence"]
+    risk = spark.createDataFrame([(["low_conf", "low_conf", "odd"], "12", "13", "x")], "flags array<string>, text string, r string, alt string")
+    assert risk.select(FL.risk(F.col("flags"), F.col("text"), F.col("r"), F.col("alt")).alias("x")).first().x == 5.5
+
+
+def test_isotonic_pairs_what_both_lists_have(spark):
+    df = spark.createDataFrame([(5.0,), (45.0,), (99.0,)], "conf double")
+    got = [r.x for r in df.select(FL.isotonic(F.col("conf"), [0.1, 0.4, 0.7, 0.9], [0.05, 0.3]).alias("x")).collect()]
+    assert got == pytest.approx([5, 30, 30])
+
+
+def test_pava():
+    assert M.pava([1, 3, 2, 2, 5], [1, 1, 1, 2, 1]) == ([1, 9 / 4, 5], [1, 4, 1])
+
+
+def test_bootstrap():
+    assert M.bootstrap_ci([2.0]) == (2.0, 2.0) and np.isnan(M.bootstrap_ci([float("nan")])[0])
+    v = np.arange(20.0)
+    rng = np.random.default_rng(0)
+    means = v[rng.integers(0, 20, size=(2000, 20))].mean(axis=1)
+    assert M.bootstrap_ci(v.tolist()) == pytest.approx(np.percentile(means, [2.5, 97.5]).tolist())
+
+
+def grid(columns, rows, w=60, h=20, dx=100, dy=80):
+    return [(x * dx, y * dy, x * dx + w, y * dy + h) for y in range(rows) for x in range(columns)]
+
+
+def test_two_columns_read_one_after_the_other():
+    boxes = [(x, y * 80, x + 280 + 15 * (y % 3), y * 80 + 20) for y in range(7) for x in (0, 400)]
+    page = L.Page(np.array(boxes), np.zeros(len(boxes)))
+    assert page.reading_order().tolist() == [*range(0, 14, 2), *range(1, 14, 2)] and page.fired["splits"] == 1
+    few = L.Page(np.array(boxes[:6]), np.zeros(6))
+    assert few.reading_order().tolist() == list(range(6))
+    numbers = L.Page(np.array(boxes), np.arange(14) % 2 * 1.0)
+    assert numbers.fired["splits"] == 0 and numbers.reading_order().tolist() == list(range(14))
+
+
+def test_table_cells_keep_their_lines_together():
+    boxes = []
+    for row in range(4):
+        boxes += [(c * 200, row * 150 + line * 22, c * 200 + 60, row * 150 + line * 22 + 20) for line in range(2) for c in range(5)]
+    page = L.Page(np.array(boxes), np.zeros(len(boxes)))
+    order = page.region(np.arange(len(boxes)))
+    assert sorted(order.tolist()) == list(range(len(boxes)))
+    got = page.table(np.arange(len(boxes)))
+    assert got[:4].tolist() == [0, 5, 1, 6] and page.fired["tables"] >= 1
+
+
+def test_lines_align_without_crossing():
+    a, b = ["alpha one", "beta two", "gamma three"], ["alpha ona", "noise", "gamma thre"]
+    assert [(i, j) for i, j, _ in L.align_lines(a, b)] == [(0, 0), (2, 2)] and L.align_lines([], b) == []
+
+
+def test_iou_and_greedy_match(spark):
+    box = "page string, {p}i long, {p}x0 int, {p}y0 int, {p}x1 int, {p}y1 int"
+    a = spark.createDataFrame([("p", 0, 0, 0, 300, 40), ("p", 1, 0, 200, 100, 300)], box.format(p="a"))
+    b = spark.createDataFrame([("p", 0, 5, 0, 300, 40), ("p", 1, 0, 0, 290, 40), ("p", 2, 900, 900, 950, 950)], box.format(p="b"))
+    match = L.greedy_match(L.iou_pairs(a, b))
+    assert [(r.ai, r.bi) for r in match.collect()] == [(0, 0)]
+    report = L.box_report(a, b, match).first()
+    assert (report.gt_total, report.hyp_total, report.matched, report.coverage) == (2, 3, 1, 0.5)
+
+
+def test_samples_and_splits(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    assert S.sample(rows, 10, "k", 1).collect() == S.sample(rows.repartition(7), 10, "k", 1).collect()
+    part = {r.part: r["count"] for r in S.split(rows, "k", 0.2).groupBy("part").count().collect()}
+    assert 120 < part["val"] < 280
+    assert S.repeated([(rows, 2), (rows, 0), (rows, 1)]).count() == 3000
+
+
+EVENTS = [(k, i, t, n) for i, (k, t, n) in enumerate([(1, 0.0, 4), (1, 10.0, 2), (2, 11.0, 1), (1, 20.0, 1), (1, 61.0, 1), (1, 86_400.0, 5), (2, 86_399.0, 5)])]
+
+
+def test_rate_limit(spark):
+    df = spark.createDataFrame(EVENTS, "key long, event_id long, t double, n long")
+    got = {r.event_id: (r.allowed, r.retry) for r in limits.rate_limit(df, 60, 2).collect()}
+    assert [got[i][0] for i in (0, 1, 3, 4, 5)] == [True, True, False, True, True] and got[3][1] == 41
+
+
+def test_daily_quota(spark):
+    df = spark.createDataFrame(EVENTS, "key long, event_id long, t double, n long")
+    got = {r.event_id: r.allowed for r in limits.daily_quota(df, 5).collect()}
+    assert got == {0: True, 1: False, 3: True, 4: False, 5: True, 2: True, 6: False}
+    assert all(r.allowed for r in limits.daily_quota(df, 0).collect())
+
+
+def test_streams_decide_as_batches_do(spark, tmp_path):
+    df = spark.createDataFrame(EVENTS, "key long, event_id long, t double, n long")
+    for part in range(2):
+        df.where(F.col("event_id") % 7 < 4 if part == 0 else F.col("event_id") % 7 >= 4).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, processor, batch in (("rate", limits.RateLimitProcessor(60, 2), limits.rate_limit(df, 60, 2)), ("quota", limits.QuotaProcessor(5), limits.daily_quota(df, 5))):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        out = limits.stream_decisions(stream, processor)
+        run = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").outputMode("append").trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+        key = lambda d: sorted((r.event_id, r.allowed, r.retry) for r in d.collect())
+        assert key(spark.table(name)) == key(batch)
