@@ -35,5 +35,6 @@ def same(spark, con, query, sql, sf_dir) -> tuple[bool, str]:
     want = rows(names, cur.fetchall())
     if sorted(names) != sorted(df.columns):
         return False, f"columns {df.columns} and {names}"
-    odd = [r for r in got if r not in set(want)][:2], [r for r in want if r not in set(got)][:2]
+    ours, theirs = set(got), set(want)
+    odd = [r for r in got if r not in theirs][:2], [r for r in want if r not in ours][:2]
     return got == want, f"{len(got)} and {len(want)} rows; {odd}"
