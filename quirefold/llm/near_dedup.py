@@ -15,6 +15,8 @@ from .shingles import mix, shingle_set
 #: DISTANCE = 2 CHUNKS - 1 values have, by pigeonhole, a chunk with at most one difference.
 HASHES, CHUNKS = 64, 11
 DISTANCE = 2 * CHUNKS - 1
+#: Members from which a bucket is compared in blocks.
+LARGE = 16
 _rng = np.random.default_rng(7)
 FACTOR = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSET = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -143,9 +145,8 @@ def with_distance(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, distance int")
 
 
-def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 |A and B| >= percent |A or B|."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """Whole shingle sets (id, full: sorted 64-bit hashes) of the documents in ids(doc_id)."""
 
     def full(batches):
         for batch in batches:
@@ -154,6 +155,14 @@ def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int
                 sets = [shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "full"])
 
+    ids = ids.distinct()
+    wanted = text_of(docs).join(F.broadcast(ids) if small(ids, 1_000_000) else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return scratch.save(wanted.mapInArrow(full, "id long, full binary"), "sets")
+
+
+def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 |A and B| >= percent |A or B|."""
+
     def compare(batches):
         for batch in batches:
             link = []
@@ -164,8 +173,7 @@ def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int
                 link.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
 
-    wanted = text_of(docs).join(F.broadcast(ids) if small(ids, 1_000_000) else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.save(wanted.mapInArrow(full, "id long, full binary"), "sets")
+    sets = full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, words, scratch)
     left, right = (sets.select(F.col("id").alias(k), F.col("full").alias(f"f{k}")) for k in "ab")
     out = scratch.save(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"), "links")
     scratch.drop(sets)
@@ -179,12 +187,27 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("ca <> cb").drop("ca", "cb")
 
 
-def open_pairs(nodes: DataFrame, labels: DataFrame, percent: int, scratch: Scratch, block: int = 1024) -> DataFrame:
-    """All pairs (a, b) within DISTANCE that share a bucket and have different components so far.
-
-    Only buckets with several components are looked at. A bucket of g members is cut into about g / block blocks, and
-    each pair of blocks is compared in a task of its own; a pair comes from its first common bucket only.
-    """
+def groups_in_order(batches, mark: tuple[str, ...]):
+    """Tables of whole groups from batches sorted by the columns in mark; the last group of a batch may go on in the next."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        values = np.stack([table.column(c).to_numpy().astype(np.int64) for c in mark])
+        other = np.flatnonzero((values != values[:, -1:]).any(axis=0))
+        cut = other[-1] + 1 if len(other) else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def open_buckets(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (id, component, key) of the buckets of labels(id, component), and the buckets (key, lead, g) of three
+    members or more that hold several components. Buckets of two are a pair that was looked at already."""
 
     def keys(batches):
         for batch in batches:
@@ -193,34 +216,92 @@ def open_pairs(nodes: DataFrame, labels: DataFrame, percent: int, scratch: Scrat
                 key = index_keys(matrix_of(part.column("sig"))).view(np.int64) if part.num_rows else np.zeros((0, HASHES), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), HASHES)) for c in ("id", "component")] + [pa.array(key.ravel())], ["id", "component", "key"])
 
-    named = nodes.join(labels, "id").select("id", "component", "sig")
-    member = scratch.save(named.mapInArrow(keys, "id long, component long, key long"), "members")
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("g") / block).cast("int").alias("blocks"))
-    dealt = member.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "component", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine")
-    dealt = dealt.join(nodes.select("id", "sig", "n"), "id")
-
-    def compare(key, table):
-        sig, ids, comp = matrix_of(table.column("sig")), table.column("id").to_numpy(), table.column("component").to_numpy()
-        n, mine = table.column("n").to_numpy(), table.column("mine").to_numpy()
-        all_keys = index_keys(sig)
-        x, y = key[1].as_py(), key[2].as_py()
-        rows, found = (np.flatnonzero(mine == x), np.flatnonzero(mine == y)), []
-        bucket = np.int64(key[0].as_py()).view(np.uint64)
-        place = int(np.flatnonzero(all_keys[0] == bucket)[0]) if len(ids) else 0
-        for i in rows[0]:
-            ok = rows[1][(comp[rows[1]] != comp[i]) & ((ids[rows[1]] > ids[i]) if x == y else True)]
-            ok = ok[100 * np.minimum(n[ok], n[i]) >= percent * np.maximum(n[ok], n[i])]
-            ok = ok[(sig[ok] != sig[i]).sum(axis=1) <= DISTANCE]
-            ok = ok[~(all_keys[ok, :place] == all_keys[i, :place]).any(axis=1)]
-            if len(ok):
-                found.append(np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+    member = scratch.save(nodes.join(labels, "id").select("id", "component", "sig").mapInArrow(keys, "id long, component long, key long"), "members")
+    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("lead"), F.count("*").alias("g"))
+    return member, scratch.save(open_.where("lo <> hi and g > 2").select("key", "lead", "g"), "open")
+
+
+def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) within DISTANCE, of different components, in buckets of at most LARGE members; a pair comes from
+    its first common bucket."""
+
+    def within(table: pa.Table) -> pa.RecordBatch:
+        """Pairs of whole groups, all groups at a time: each row with the row d places on, for every d that occurs."""
+        key, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "component", "n"))
+        sig = matrix_of(table.column("sig"))
+        group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        keys = index_keys(sig)
+        place = (keys == key.view(np.uint64)[:, None]).argmax(axis=1)
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, np.bincount(group).max()):
+            i = np.flatnonzero(group[:-d] == group[d:])
+            j = i + d
+            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            ok = (sig[i] != sig[j]).sum(axis=1) <= DISTANCE
+            i, j = i[ok], j[ok]
+            early = (keys[i] == keys[j]) & (np.arange(HASHES)[None, :] < place[i][:, None])
+            found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)[~early.any(axis=1)])
+        pairs = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches):
+        for table in groups_in_order(batches, ("key",)):
+            yield within(table)
+
+    rows = member.join(buckets.select("key"), "key").join(nodes.select("id", "sig", "n"), "id")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, rows: int = 512, set_bytes: int = 16_000_000) -> DataFrame:
+    """Links (a, b) that join components within large buckets, found on full sets without emitting pairs.
+
+    Documents that large buckets have in common are a cluster. A cluster is cut into blocks of at most so many rows and
+    bytes of sets; each pair of blocks is compared in a task of its own, every pair within DISTANCE of different
+    components exactly, and gives a spanning forest of what it joins: links in proportion to rows.
+    """
+    near = member.join(buckets.select("key", "lead"), "key")
+    star = near.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    cluster = components(spark, star, scratch).select("id", F.col("component").alias("cluster"))
+    who = scratch.save(near.select("id", "component").distinct().join(cluster, "id").join(nodes.select("id", "sig", "n"), "id"), "clustered")
+    size = who.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("n") * 8 / set_bytes)).cast("int").alias("blocks"))
+    sets = full_sets(who.select(F.col("id").alias("doc_id")), docs, words, scratch)
+    dealt = who.join(size, "cluster").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+    dealt = dealt.join(sets, "id").select("cluster", "x", "y", "mine", "id", "component", "n", "sig", "full")
+
+    def forest(table: pa.Table) -> np.ndarray:
+        ids, comp, n, mine, x, y = (table.column(c).to_numpy() for c in ("id", "component", "n", "mine", "x", "y"))
+        sig, sets_ = matrix_of(table.column("sig")), [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("full")]
+        _, comp = np.unique(comp, return_inverse=True)
+        root, out = np.arange(comp.max() + 1), []
+        for i in range(len(ids)):
+            j = np.arange(i + 1, len(ids))
+            own = root[comp[i]]
+            j = j[(root[comp[j]] != own) & ((x[i] == y[i]) | (mine[j] != mine[i]))]
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            j = j[(sig[j] != sig[i]).sum(axis=1) <= DISTANCE]
+            if not len(j):
+                continue
+            flat = np.concatenate([sets_[k] for k in j])
+            at = np.minimum(np.searchsorted(sets_[i], flat), len(sets_[i]) - 1)
+            common = np.add.reduceat((sets_[i][at] == flat).astype(np.int64), np.cumsum([0] + [len(sets_[k]) for k in j[:-1]]))
+            for k in j[100 * common >= percent * (n[j] + n[i] - common)]:
+                a, b = root[comp[i]], root[comp[k]]
+                if a != b:
+                    root[root == max(a, b)] = min(a, b)
+                    out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+        return np.array(out, np.int64).reshape(-1, 2)
+
+    def run(batches):
+        for table in groups_in_order(batches, ("cluster", "x", "y")):
+            mark = np.stack([table.column(c).to_numpy() for c in ("cluster", "x", "y")])
+            edge = np.concatenate([[0], np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+            for i, j in zip(edge[:-1], edge[1:]):
+                links = forest(table.slice(i, j - i).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -234,7 +315,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
 
     1. Signatures; equal sets become one node. 2. Linear pairs from the buckets of the index. 3. Each node's nearest
     candidate is confirmed on full sets; components; then those other pairs that still lie across components.
-    4. In buckets that still hold several components, every pair across them within the distance is confirmed. So each
+    4. In buckets that still hold several components, every pair across them within the distance is confirmed: pair by
+    pair in small buckets, in blocks of clusters where buckets are large. So each
     link within DISTANCE signature values is found or lies inside a component already, and hot groups are joined by a
     number of pairs in proportion to their members. At the similarity threshold of 85 % a link exceeds the distance
     with probability below 1e-4 (80 %: 0.6 %), and pairs beyond it are met by chance in most cases still.
@@ -258,9 +340,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     met = both.select(F.col("a").alias("id")).distinct()
     known = met.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     tried = nearest.unionByName(rest)
-    left = scratch.save(open_pairs(nodes, known, percent, scratch).distinct().join(tried, ["a", "b"], "left_anti"), "open")
-    if left.limit(1).count():
-        links = links.unionByName(confirmed(spark, left, docs, words, percent, scratch))
+    member, buckets = open_buckets(nodes, known, scratch)
+    found = small_bucket_pairs(member, buckets.where(F.col("g") <= LARGE), nodes, percent)
+    left, large = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "left"), buckets.where(F.col("g") > LARGE)
+    more = [confirmed(spark, left, docs, words, percent, scratch)] if left.limit(1).count() else []
+    if large.limit(1).count():
+        more.append(scratch.save(large_bucket_links(spark, member, large, nodes, docs, words, percent, scratch), "links"))
+    if more:
+        for part in more:
+            links = links.unionByName(part)
         labels = scratch.save(components(spark, links, scratch), "labels")
 
     of_print = nodes.select("print", "id").join(labels, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
