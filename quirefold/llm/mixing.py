@@ -49,7 +49,7 @@ def pfair_period(quota: list[int]) -> list[list[int]]:
     return slots
 
 
-def schedule(spark: SparkSession, docs: DataFrame, weights: dict | None = None, exponent: float = 0.8, block_docs: int = 16, shard_docs: int = 20_000) -> DataFrame:
+def schedule(spark: SparkSession, docs: DataFrame, weights: dict | None = None, exponent: float = 0.8, block_docs: int = 16, shard_docs: int = 2048) -> DataFrame:
     """docs with where each document stands in the mix: epoch, block, slot, position (of one row per scheduled copy).
 
     weights: target weight of each source (the key None is the null source); by default the source's number of
@@ -86,9 +86,10 @@ def schedule(spark: SparkSession, docs: DataFrame, weights: dict | None = None,
     before = Window.partitionBy("_source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_source", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_source", "_shard").orderBy("_tie", "doc_id")))
-    few = len(names) * n_shards <= 200_000  # else the starts and the plan are joined by shuffle
-    hint = F.broadcast if few else (lambda x: x)
-    numbered = numbered.join(hint(starts), ["_source", "_shard"]).join(hint(plan), "_source").withColumn("_at", F.col("_start") + F.col("_row") - 1)
+    # the starts have a row for each shard, the plan one for each source and a period of slots; else they are shuffled
+    starts = F.broadcast(starts) if len(names) * n_shards <= 200_000 else starts
+    plan = F.broadcast(plan) if len(names) <= 50_000 else plan
+    numbered = numbered.join(starts, ["_source", "_shard"]).join(plan, "_source").withColumn("_at", F.col("_start") + F.col("_row") - 1)
     numbered = numbered.withColumn("block", F.floor(F.col("_at") / block_docs))
     copies = numbered.withColumn("epoch", F.explode(F.expr("sequence(0L, floor((_used - 1 - block) / _blocks))")))
     nth = F.col("block") + F.col("epoch") * F.col("_blocks")
