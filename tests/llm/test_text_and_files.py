@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import math
 import random
 import string
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -161,3 +163,30 @@ def test_mix_keeps_columns(spark):
     assert sorted(map(str, mixing.mix(spark, df).distinct().collect())) == sorted(map(str, df.collect()))
     assert mixing.mix(spark, df.limit(0)).collect() == []
     assert mixing.mix(spark, df).columns == df.columns
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 20, [1, 0.1, 7 ** 0.8, 1e5 ** 0.8, 3.3]])
+def test_pfair_keeps_the_weights_over_a_long_run(weights):
+    length, total = 30_000, sum(map(Fraction, weights))
+    shares = [Fraction(w) / total for w in weights]
+    runs = mixing.pfair(weights, [math.ceil(length * w) for w in shares])
+    slots = [[] for _ in weights]
+    for s, run, part in runs:
+        assert run * mixing.RUN == len(slots[s])
+        slots[s].extend(part)
+    assert sorted(t for own in slots for t in own) == list(range(sum(map(len, slots))))
+    for w, own in zip(shares, slots):
+        assert all(w * t - 1 < i and i + 1 < w * (t + 1) + 1 for i, t in enumerate(own))
+
+
+def test_mix_keeps_target_weights_over_a_long_run(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HELD", 5000)  # slots in several parts, and not broadcast
+    df = spark.range(60_000).selectExpr("id AS doc_id", "cast(id % 20 AS string) AS source").unionByName(spark.createDataFrame([(60_000, "one")], "doc_id long, source string"))
+    got = mixing.schedule(spark, df, block_docs=1).collect()
+    assert {r.doc_id for r in got} == set(range(60_001)) and len({r.slot for r in got}) == len(got)
+    target = {str(k): 3000 ** 0.8 for k in range(20)} | {"one": 1.0}
+    total = sum(target.values())
+    for source, weight in target.items():
+        own = sorted(r.slot for r in got if r.source == source)
+        assert all(abs(i + 1 - weight / total * (t + 1)) < 1.001 for i, t in enumerate(own))
+        assert abs(len(own) - weight / total * len(got)) < 1.001
