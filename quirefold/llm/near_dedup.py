@@ -206,8 +206,9 @@ def groups_in_order(batches, mark: tuple[str, ...]):
 
 
 def open_buckets(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Members (id, component, key) of the buckets of labels(id, component), and the buckets (key, lead, g) of three
-    members or more that hold several components. Buckets of two are a pair that was looked at already."""
+    """Members (id, component, key) of all buckets, and the buckets (key, lead, g) of three members or more that hold
+    several components, from nodes and labels(id, component); a node without a label is its own component. A bucket of
+    two, counted over all nodes, is a linear pair and was looked at already."""
 
     def keys(batches):
         for batch in batches:
@@ -216,7 +217,7 @@ def open_buckets(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple
                 key = index_keys(matrix_of(part.column("sig"))).view(np.int64) if part.num_rows else np.zeros((0, HASHES), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), HASHES)) for c in ("id", "component")] + [pa.array(key.ravel())], ["id", "component", "key"])
 
-    member = scratch.save(nodes.join(labels, "id").select("id", "component", "sig").mapInArrow(keys, "id long, component long, key long"), "members")
+    member = scratch.save(nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sig").mapInArrow(keys, "id long, component long, key long"), "members")
     open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("lead"), F.count("*").alias("g"))
     return member, scratch.save(open_.where("lo <> hi and g > 2").select("key", "lead", "g"), "open")
 
@@ -337,10 +338,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
         links = scratch.save(links.unionByName(confirmed(spark, rest, docs, words, percent, scratch)), "links")
         labels = scratch.save(components(spark, links, scratch), "labels")
 
-    met = both.select(F.col("a").alias("id")).distinct()
-    known = met.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     tried = nearest.unionByName(rest)
-    member, buckets = open_buckets(nodes, known, scratch)
+    member, buckets = open_buckets(nodes, labels, scratch)
     found = small_bucket_pairs(member, buckets.where(F.col("g") <= LARGE), nodes, percent)
     left, large = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "left"), buckets.where(F.col("g") > LARGE)
     more = [confirmed(spark, left, docs, words, percent, scratch)] if left.limit(1).count() else []

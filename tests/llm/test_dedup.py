@@ -139,3 +139,19 @@ def test_embeddings_against_brute_force(spark):
 
 def test_embeddings_empty(spark):
     assert embedding_dedup.embedding_dedup(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_near_link_behind_other_members_of_a_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 2**15, (4, near_dedup.HASHES)).astype(np.uint16)  # L, A, B, C
+    sig[:, near_dedup.PARTS[0]] = 7  # all four share the buckets of one chunk, and no other
+    sig[3] = sig[1]
+    for part in near_dedup.PARTS[1:]:
+        sig[3, part[:2]] += 2**15
+    assert (sig[1] != sig[3]).sum() == near_dedup.DISTANCE - 1
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"l{k}" for k in range(60)), " ".join(words), " ".join(f"b{k}" for k in range(60)), " ".join(words + ["end"])]
+    rows = [(i, len(shingle_set(t, 3)), bytes([i]), sig[i].tobytes()) for i, t in enumerate(texts)]
+    monkeypatch.setattr(near_dedup, "sketch", lambda docs, words: spark.createDataFrame(rows, "doc_id long, n_shingles long, print binary, sig binary").coalesce(1))
+    got = near_dedup.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=3, percent=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
