@@ -163,7 +163,11 @@ def fit_isotonic(binned: DataFrame, by: list[str]) -> DataFrame:
     return binned.groupBy(*by).applyInPandas(fit, schema)
 
 
-def fit_temperature(rows: DataFrame, by: list[str], grid: list[float]) -> DataFrame:
+#: 0.25 to 19.75 by 0.25 and 20 to 120 by 1, of both signs.
+TEMPERATURES = sorted(sign * t for sign in (-1, 1) for t in [k / 4 for k in range(1, 80)] + [float(k) for k in range(20, 121)])
+
+
+def fit_temperature(rows: DataFrame, by: list[str], grid: list[float] = TEMPERATURES) -> DataFrame:
     """The temperature of a grid with the least mean log loss of rows(p, label); a value's rows are counted first, so
     the grid meets distinct (p, label) pairs only."""
     pairs = rows.groupBy(*by, "p", "label").agg(F.count("*").alias("n"))

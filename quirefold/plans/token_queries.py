@@ -182,6 +182,12 @@ def fit_temperature(spark, sf):
     return M.fit_temperature(scored(spark, sf).withColumn("g", F.lit("all")), ["g"], GRID).withColumn("nll", F.round("nll", 6))
 
 
+@query("agg_fit_temperature_whole_grid")
+def fit_temperature_whole_grid(spark, sf):
+    """Over the operator's own grid; agg_fit_temperature has the nine values of its SQL."""
+    return M.fit_temperature(scored(spark, sf).withColumn("g", F.lit("all")), ["g"]).withColumn("nll", F.round("nll", 6))
+
+
 XS, YS = [0.1, 0.4, 0.7, 0.9], [0.05, 0.3, 0.6]
 CASE_ISO = "CASE WHEN conf / 100 >= 0.7 THEN 0.6::DOUBLE WHEN conf / 100 >= 0.4 THEN 0.3 ELSE 0.05 END * 100"
 
