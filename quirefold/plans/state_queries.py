@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirefold.functions import text as T
 from quirefold.operators import joins as J
 from quirefold.operators import memory as MEM
 from quirefold.operators import sampling as S
@@ -89,8 +90,8 @@ def islands(spark, sf):
 LOG = f"""WITH {D.TOK}, {CORR}, log AS (SELECT doc_id * 100000 + seq AS seq, doc_id % 10 AS session, lower(original) AS key, original, corrected, CASE WHEN seq % 7 = 1 THEN 'word_accept' WHEN seq % 7 IN (2, 3) THEN 'word_reject' ELSE 'word' END AS kind FROM corr)"""
 
 
-def log(spark, sf):
-    rows = corrections(spark, sf)
+def log(spark, sf, every=False):
+    rows = corrections(spark, sf, every)
     kind = F.when(F.col("seq") % 7 == 1, "word_accept").when((F.col("seq") % 7).isin(2, 3), "word_reject").otherwise("word")
     return rows.select((F.col("doc_id") * 100000 + F.col("seq")).alias("seq"), (F.col("doc_id") % 10).alias("session"), F.lower("original").alias("key"), "original", "corrected", kind.alias("kind"))
 
@@ -114,7 +115,7 @@ def memory_stats(spark, sf):
 
 @query("join_word_memory")
 def word_memory(spark, sf):
-    index = MEM.fold(log(spark, sf), ["key"], "word", "corrected").withColumnRenamed("key", "word")
+    index = MEM.fold(log(spark, sf, every=True), ["key"], "word", "corrected").withColumnRenamed("key", "word")
     words = D.table(spark, sf, "benchmark").select(F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("p", "word")).select(F.xxhash64("word").alias("id"), "word").distinct()
     lexicon = D.table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return MEM.suggest_words(words, index, lexicon).select("word", "suggestion", "count")
@@ -126,25 +127,23 @@ def as_of(spark, sf):
     return MEM.as_of(rows.withColumn("id", F.col("seq")), rows.where("kind = 'word'"), ["key"])
 
 
-VALUES = [(1, "12345"), (2, "12346"), (3, "99999"), (4, "12"), (5, "12385")]
-LEARNED = [("12345", "12349", 3, 1, 0, 0), ("12395", "x", 1, 2, 0, 0), ("99990", "bad", 9, 3, 0, 2)]
+def token_id():
+    return F.col("doc_id") * 100000 + F.col("pos")
 
 
 @query("join_value_memory")
 def value_memory(spark, sf):
-    values = D.literals(spark, VALUES, "id long, digits string")
-    index = D.literals(spark, LEARNED, "value string, corrected string, count long, first_seq long, accepted long, rejected long")
-    return MEM.suggest_values(values, index)
-
-
-QUEUE = [(1, "k", "No 1234"), (2, "k", "No 1235"), (3, "k", "Nr 1235"), (4, "x", "No 1234")]
-LINES = [("k", "1234", "No. 1299", "No 1234", 2, 1, 0, 0), ("k", "1239", "No. 7", "No 1239", 5, 2, 0, 0)]
+    digits = lambda c: T.memory_digits(F.col(c))
+    learned = log(spark, sf, every=True).withColumns({"value": digits("original"), "corrected": digits("corrected")}).where(F.length("value") >= MEM.VALUE_DIGITS)
+    index = MEM.fold(learned, ["value"], "word", "corrected").withColumnRenamed("text", "corrected")
+    return MEM.suggest_values(D.tok(spark, sf).select(token_id().alias("id"), T.memory_digits(D.second(F.col("text"))).alias("digits")), index)
 
 
 @query("join_line_memory")
 def line_memory(spark, sf):
-    index = D.literals(spark, LINES, "key string, digits string, text string, original string, count long, first_seq long, accepted long, rejected long")
-    return MEM.suggest_lines(D.literals(spark, QUEUE, "id long, key string, text string"), index)
+    learned = log(spark, sf, every=True).withColumns({"key": F.floor(F.col("seq") / 100000), "digits": T.memory_digits(F.col("original"))})
+    index = MEM.fold(learned, ["key", "digits"], "word", "corrected")
+    return MEM.suggest_lines(D.tok(spark, sf).select(token_id().alias("id"), F.col("doc_id").alias("key"), D.second(F.col("text")).alias("text")), index)
 
 
 @query("smp_sample")

@@ -232,8 +232,10 @@ CORR = """corr AS (SELECT doc_id, pos AS seq, CASE WHEN pos % 3 = 0 THEN pos + 1
   CASE WHEN pos % 5 = 0 THEN 'confirmed' ELSE 'changed' END AS action, x0, y0, x1, y1 FROM tok WHERE text <> translate(text, 'aeot130', 'eoat310') AND conf < 20)"""
 
 
-def corrections(spark, sf):
-    rows = D.tok(spark, sf).withColumn("original", D.second(F.col("text"))).where((F.col("original") != F.col("text")) & (F.col("conf") < 20))
+def corrections(spark, sf, every=False):
+    """The rows of CORR, which has only tokens with conf below 20; with every, those of all tokens."""
+    rows = D.tok(spark, sf).withColumn("original", D.second(F.col("text"))).where(F.col("original") != F.col("text"))
+    rows = rows if every else rows.where("conf < 20")
     return rows.select("doc_id", F.col("pos").alias("seq"), F.when(F.col("pos") % 3 == 0, F.col("pos") + 1).otherwise(F.col("pos")).alias("index"), "original", F.col("text").alias("corrected"), F.when(F.col("pos") % 5 == 0, "confirmed").otherwise("changed").alias("action"), "x0", "y0", "x1", "y1")
 
 
