@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from .common import Scratch, components, small
 from .shingles import mix, shingle_set
 
 #: A signature has HASHES values of 16 bits. Split into CHUNKS chunks, two signatures that differ in at most
-#: DISTANCE = 2 CHUNKS - 1 values have, by pigeonhole, a chunk with at most one difference.
-HASHES, CHUNKS = 64, 11
+#: DISTANCE = 2 CHUNKS - 1 values have, by pigeonhole, a chunk with at most one difference. CHUNKS is for 85 %; chunks_for
+#: gives the number for others, so that a link at the threshold differs in more values with probability MISS at most.
+HASHES, CHUNKS, MISS = 64, 11, 1e-4
 DISTANCE = 2 * CHUNKS - 1
 #: Members from which a bucket is compared in blocks.
 LARGE = 16
@@ -23,6 +25,15 @@ OFFSET = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 PARTS = np.array_split(np.arange(HASHES), CHUNKS)
 
 
+def chunks_for(percent: int) -> int:
+    """The least number of chunks with which sets of that similarity share no bucket with probability MISS at most."""
+    p = percent / 100
+    for chunks in range(1, HASHES // 2 + 1):
+        if sum(math.comb(HASHES, k) * (1 - p) ** k * p ** (HASHES - k) for k in range(2 * chunks, HASHES + 1)) <= MISS:
+            return chunks
+    raise ValueError(f"signatures of {HASHES} values cannot find links at {percent} %")
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """b-bit minhash signatures (one row of 16-bit values each) of sets that aren't empty."""
     flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
@@ -32,11 +43,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def index_keys(sig: np.ndarray) -> np.ndarray:
+def index_keys(sig: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """HASHES keys per signature: every chunk with one of its values left out stands for all signatures whose chunk
     differs in that value at most."""
     out = np.empty(sig.shape, np.uint64)
-    for part in PARTS:
+    for part in np.array_split(np.arange(HASHES), chunks):
         for skip in part:
             h = np.full(len(sig), int(skip) + 1, np.uint64)
             for k in part:
@@ -86,7 +97,7 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def linear_pairs(nodes: DataFrame) -> DataFrame:
+def linear_pairs(nodes: DataFrame, chunks: int) -> DataFrame:
     """Candidate pairs (a < b) of nodes(id, sig): in each bucket of the index, every member with the bucket's smallest
     id and with the member before it. A task first does so with its own members of a bucket and sends on only their
     smallest, so a hot bucket reaches its owner as one row for each batch; pairs stay linear in the members."""
@@ -95,7 +106,7 @@ def linear_pairs(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            keys = index_keys(matrix_of(batch.column("sig")))[order]
+            keys = index_keys(matrix_of(batch.column("sig")), chunks)[order]
             who = np.repeat(ids[order], HASHES)
             flat = keys.ravel()
             by = np.argsort(flat, kind="stable")  # members of a bucket by id
@@ -132,13 +143,12 @@ def linear_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def with_distance(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, distance) whose signatures differ in at most DISTANCE values and whose set sizes allow a link."""
+    """Pairs (a, b, distance: values in which the signatures differ) whose set sizes allow a link."""
 
     def run(batches):
         for batch in batches:
             far = (matrix_of(batch.column("sa")) != matrix_of(batch.column("sb"))).sum(axis=1) if batch.num_rows else np.zeros(0, int)
-            near = pa.array(far <= DISTANCE)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far.astype(np.int32))], ["a", "b", "distance"]).filter(near)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far.astype(np.int32))], ["a", "b", "distance"])
 
     left, right = (nodes.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -205,7 +215,7 @@ def groups_in_order(batches, mark: tuple[str, ...]):
         yield held.combine_chunks()
 
 
-def open_buckets(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def open_buckets(nodes: DataFrame, labels: DataFrame, chunks: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members (id, component, key) of all buckets, and the buckets (key, lead, g) of three members or more that hold
     several components, from nodes and labels(id, component); a node without a label is its own component. A bucket of
     two, counted over all nodes, is a linear pair and was looked at already."""
@@ -214,7 +224,7 @@ def open_buckets(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                key = index_keys(matrix_of(part.column("sig"))).view(np.int64) if part.num_rows else np.zeros((0, HASHES), np.int64)
+                key = index_keys(matrix_of(part.column("sig")), chunks).view(np.int64) if part.num_rows else np.zeros((0, HASHES), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(c).to_numpy(), HASHES)) for c in ("id", "component")] + [pa.array(key.ravel())], ["id", "component", "key"])
 
     member = scratch.save(nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sig").mapInArrow(keys, "id long, component long, key long"), "members")
@@ -222,8 +232,8 @@ def open_buckets(nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple
     return member, scratch.save(open_.where("lo <> hi and g > 2").select("key", "lead", "g"), "open")
 
 
-def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) within DISTANCE, of different components, in buckets of at most LARGE members; a pair comes from
+def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """All pairs (a, b) of different components whose set sizes allow a link, in buckets of at most LARGE members; a pair comes from
     its first common bucket."""
 
     def within(table: pa.Table) -> pa.RecordBatch:
@@ -231,7 +241,7 @@ def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame,
         key, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "component", "n"))
         sig = matrix_of(table.column("sig"))
         group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        keys = index_keys(sig)
+        keys = index_keys(sig, chunks)
         place = (keys == key.view(np.uint64)[:, None]).argmax(axis=1)
         found = [np.zeros((0, 2), np.int64)]
         for d in range(1, np.bincount(group).max()):
@@ -239,8 +249,6 @@ def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame,
             j = i + d
             ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
-            ok = (sig[i] != sig[j]).sum(axis=1) <= DISTANCE
-            i, j = i[ok], j[ok]
             early = (keys[i] == keys[j]) & (np.arange(HASHES)[None, :] < place[i][:, None])
             found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)[~early.any(axis=1)])
         pairs = np.concatenate(found)
@@ -254,12 +262,12 @@ def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame,
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, rows: int = 512, set_bytes: int = 16_000_000) -> DataFrame:
+def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, chunks: int, scratch: Scratch, rows: int = 512, set_bytes: int = 16_000_000) -> DataFrame:
     """Links (a, b) that join components within large buckets, found on full sets without emitting pairs.
 
     Documents that large buckets have in common are a cluster. A cluster is cut into blocks of at most so many rows and
-    bytes of sets; each pair of blocks is compared in a task of its own, every pair within DISTANCE of different
-    components exactly, and gives a spanning forest of what it joins: links in proportion to rows.
+    bytes of sets; each pair of blocks is compared in a task of its own, every pair of different components that
+    shares a bucket exactly, and gives a spanning forest of what it joins: links in proportion to rows.
     """
     near = member.join(buckets.select("key", "lead"), "key")
     star = near.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -273,7 +281,7 @@ def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFram
 
     def forest(table: pa.Table) -> np.ndarray:
         ids, comp, n, mine, x, y = (table.column(c).to_numpy() for c in ("id", "component", "n", "mine", "x", "y"))
-        sig, sets_ = matrix_of(table.column("sig")), [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("full")]
+        keys, sets_ = index_keys(matrix_of(table.column("sig")), chunks), [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("full")]
         _, comp = np.unique(comp, return_inverse=True)
         root, out = np.arange(comp.max() + 1), []
         for i in range(len(ids)):
@@ -281,7 +289,7 @@ def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFram
             own = root[comp[i]]
             j = j[(root[comp[j]] != own) & ((x[i] == y[i]) | (mine[j] != mine[i]))]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            j = j[(sig[j] != sig[i]).sum(axis=1) <= DISTANCE]
+            j = j[(keys[j] == keys[i]).any(axis=1)]
             if not len(j):
                 continue
             flat = np.concatenate([sets_[k] for k in j])
@@ -316,17 +324,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
 
     1. Signatures; equal sets become one node. 2. Linear pairs from the buckets of the index. 3. Each node's nearest
     candidate is confirmed on full sets; components; then those other pairs that still lie across components.
-    4. In buckets that still hold several components, every pair across them within the distance is confirmed: pair by
-    pair in small buckets, in blocks of clusters where buckets are large. So each
-    link within DISTANCE signature values is found or lies inside a component already, and hot groups are joined by a
-    number of pairs in proportion to their members. At the similarity threshold of 85 % a link exceeds the distance
-    with probability below 1e-4 (80 %: 0.6 %), and pairs beyond it are met by chance in most cases still.
+    4. In buckets that still hold several components, every pair across them whose set sizes allow a link is confirmed:
+    pair by pair in small buckets, in blocks of clusters where buckets are large. So each link whose signatures share a
+    bucket is found or lies inside a component already, and hot groups are joined by a number of pairs in proportion to
+    their members. The number of chunks follows from percent: a link at the threshold, whose values differ each with
+    its distance, shares no bucket with probability MISS at most (11 chunks at 85 %, 14 at 80 %). Shingles' hashes and
+    16-bit values that agree by chance only add candidates. A percent that this cannot reach is a ValueError.
     """
-    scratch = Scratch(spark, "near")
+    chunks, scratch = chunks_for(percent), Scratch(spark, "near")
     rows = scratch.save(sketch(docs, words), "sketches")
     groups = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     nodes = scratch.save(groups.where("id is not null"), "nodes")
-    pairs = scratch.save(with_distance(linear_pairs(nodes.select("id", "sig")), nodes, percent), "pairs")
+    pairs = scratch.save(with_distance(linear_pairs(nodes.select("id", "sig"), chunks), nodes, percent), "pairs")
 
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     nearest = both.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
@@ -339,12 +348,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
         labels = scratch.save(components(spark, links, scratch), "labels")
 
     tried = nearest.unionByName(rest)
-    member, buckets = open_buckets(nodes, labels, scratch)
-    found = small_bucket_pairs(member, buckets.where(F.col("g") <= LARGE), nodes, percent)
+    member, buckets = open_buckets(nodes, labels, chunks, scratch)
+    found = small_bucket_pairs(member, buckets.where(F.col("g") <= LARGE), nodes, percent, chunks)
     left, large = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "left"), buckets.where(F.col("g") > LARGE)
     more = [confirmed(spark, left, docs, words, percent, scratch)] if left.limit(1).count() else []
     if large.limit(1).count():
-        more.append(scratch.save(large_bucket_links(spark, member, large, nodes, docs, words, percent, scratch), "links"))
+        more.append(scratch.save(large_bucket_links(spark, member, large, nodes, docs, words, percent, chunks, scratch), "links"))
     if more:
         for part in more:
             links = links.unionByName(part)

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -155,3 +156,29 @@ def test_near_link_behind_other_members_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "sketch", lambda docs, words: spark.createDataFrame(rows, "doc_id long, n_shingles long, print binary, sig binary").coalesce(1))
     got = near_dedup.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=3, percent=85)
     assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("percent", [85, 80, 75, 70])
+def test_near_chunks_follow_percent(percent):
+    chunks = near_dedup.chunks_for(percent)
+    tail = sum(math.comb(near_dedup.HASHES, k) * (1 - percent / 100) ** k * (percent / 100) ** (near_dedup.HASHES - k) for k in range(2 * chunks, near_dedup.HASHES + 1))
+    assert tail <= near_dedup.MISS
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**15, (100, near_dedup.HASHES)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(near_dedup.HASHES, 2 * chunks - 1, replace=False)] += 2**15
+    assert (near_dedup.index_keys(a, chunks) == near_dedup.index_keys(b, chunks)).any(axis=1).all()
+
+
+@pytest.mark.parametrize("members", [2, 3, 20])
+def test_near_confirms_candidates_of_any_distance(spark, monkeypatch, members):
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 2**16, (members, near_dedup.HASHES)).astype(np.uint16)
+    sig[:, :4] = 7  # one shared chunk and nothing else
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words)] + [" ".join(f"{i}x{k}" for k in range(60)) for i in range(members - 2)] + [" ".join(words + ["end"])]
+    rows = [(i, len(shingle_set(t, 5)), bytes([i]), sig[i].tobytes()) for i, t in enumerate(texts)]
+    monkeypatch.setattr(near_dedup, "sketch", lambda docs, words: spark.createDataFrame(rows, "doc_id long, n_shingles long, print binary, sig binary").coalesce(1))
+    got = near_dedup.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=5, percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i for i in range(members - 1)} | {members - 1: 0}
