@@ -8,18 +8,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, forest
 
 
-def plan_tables(rows: int, cosine: float, miss: float = 1e-4, bucket: int = 96) -> tuple[int, int]:
+def plan_tables(rows: int, cosine: float, miss: float = 1e-4, bucket: int = 2048) -> tuple[int, int]:
     """Bits of a table's hash, so that a bucket of unrelated vectors has about so many rows, and the number of tables
-    after which a pair at the threshold has been missed with at most the given probability."""
+    after which a pair at the threshold has been missed with at most the given probability. Bits stop at 30, from where
+    on (2,000 billion rows) buckets grow; large buckets mean fewer tables, so less to shuffle and more to multiply."""
     bits = min(30, max(4, math.ceil(math.log2(max(1, rows / bucket)))))
     together = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - together)))
 
 
-def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-4, block: int = 1024, seed: int = 5) -> DataFrame:
+def unit_of(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; no overflow on the way."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-4, block: int = 4096, seed: int = 5) -> DataFrame:
     """Links vectors whose cosine (in double precision) is at least the threshold.
 
     Returns for every row vec_id, n_links (other vectors linked directly), component_id (smallest vec_id that links
@@ -31,8 +38,11 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     projections; buckets are compared exactly by matrix products, in pairs of blocks of about `block` members, so no
     task holds more than two blocks. A pair counts in the first table where it shares a bucket. A block pair gives
     counts per vector and a spanning forest of its links, so what leaves it is linear in its members. Bits grow with the number
-    of vectors and tables with the bits, so that work grows as rows to the power 1.22 or so.
+    of vectors and tables with the bits, so that work grows as rows to the power 1.22 or so. A vector of floats is sent
+    as floats and widened where it is compared. Rows that repeat an id with other vectors count as one vector each.
     """
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kind = np.float32 if single else np.float64
     scratch = Scratch(spark, "vectors")
     value = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("v"))
@@ -40,6 +50,7 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     sound = rows.where(fine & F.col("vec_id").isNotNull())
     nodes = scratch.save(sound.groupBy("v").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("copies")), "nodes")
     bits, tables = plan_tables(nodes.count(), cosine, miss)
+    place = np.min_scalar_type(2**bits - 1)
 
     def hashed(batches):
         planes: dict[int, np.ndarray] = {}
@@ -49,34 +60,33 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
                 lists = part.column("v").to_pylist()
                 for size in sorted({len(x) for x in lists}):
                     at = [k for k, x in enumerate(lists) if len(x) == size]
-                    v = np.array([lists[k] for k in at])
-                    v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the norm
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    own_v = np.array([lists[k] for k in at], np.float64)
+                    v = unit_of(own_v)
                     if size not in planes:
                         planes[size] = np.random.default_rng([seed, size]).standard_normal((size, bits * tables))
                     signs = (v @ planes[size] > 0).reshape(len(at), tables, bits)
-                    sig = (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+                    sig = (signs * (1 << np.arange(bits))).sum(axis=2).astype(place)
                     own = part.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays(
-                        [own.column("id"), own.column("copies"), pa.array(np.full(len(at), size, np.int32)), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(list(sig), pa.list_(pa.int32()))],
-                        ["id", "copies", "size", "unit", "sig", "buckets"],
+                        [own.column("id"), own.column("copies"), pa.array(np.full(len(at), size, np.int32)), pa.array([x.tobytes() for x in own_v.astype(kind)], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(list(sig.astype(np.int32)), pa.list_(pa.int32()))],
+                        ["id", "copies", "size", "vector", "sig", "buckets"],
                     )
 
-    node = scratch.save(nodes.mapInArrow(hashed, "id long, copies long, size int, unit binary, sig binary, buckets array<int>"), "hashed")
+    node = scratch.save(nodes.mapInArrow(hashed, "id long, copies long, size int, vector binary, sig binary, buckets array<int>"), "hashed")
     spread = node.select("id", "size", F.posexplode("buckets").alias("t", "bucket"))
     counts = spread.groupBy("size", "t", "bucket").agg(F.count("*").alias("g")).where("g > 1")
     counts = scratch.save(counts.select("size", "t", "bucket", F.ceil(F.col("g") / block).cast("int").alias("blocks")), "counts")
 
     def dealt() -> DataFrame:
-        out = node.select("id", "copies", "size", "unit", "sig", F.posexplode("buckets").alias("t", "bucket")).join(counts, ["size", "t", "bucket"])
+        out = node.select("id", "copies", "size", "vector", "sig", F.posexplode("buckets").alias("t", "bucket")).join(counts, ["size", "t", "bucket"])
         out = out.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return out.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).drop("other", "blocks")
 
     def compare(key, table):
         x, y, t, size = (key[i].as_py() for i in (3, 4, 1, 0))
         mine, ids, copies = (table.column(c).to_numpy() for c in ("mine", "id", "copies"))
-        unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, size)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int32).reshape(-1, tables)
+        unit = unit_of(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, size).astype(np.float64))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), place).reshape(-1, tables)
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         edges = []
@@ -112,23 +122,3 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.expr("vec_id <=> component_id"))
 
-
-def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Of the edges (a, b), some that join the same parts as all of them do, given the parts in root (updated): at most
-    one per merge. Whole arrays are merged at a time: every part points to its smallest neighbour until none is left."""
-    out = []
-    while True:
-        ra, rb = root[a], root[b]
-        cross = ra != rb
-        a, b = a[cross], b[cross]
-        if not len(a):
-            return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        hi, lo = np.maximum(ra[cross], rb[cross]), np.minimum(ra[cross], rb[cross])
-        order = np.lexsort((lo, hi))
-        first = order[np.concatenate([[True], hi[order][1:] != hi[order][:-1]])]
-        out.append(np.stack([a[first], b[first]], 1))
-        parent = np.arange(len(root))
-        parent[hi[first]] = lo[first]
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        root[:] = parent[root]

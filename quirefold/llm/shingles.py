@@ -21,23 +21,41 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), base, np.uint64)]))
 
 
+#: Bytes that are hashed at a time; a longer word is hashed alone.
+WINDOW = 1 << 20
 _known = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 
 
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and INVERSE; those for a window are kept."""
+    if n > WINDOW + 1:
+        return _powers(BASE, n), _powers(INVERSE, n)
+    if _known["n"] < n:
+        n = min(WINDOW + 1, max(1 << 16, 2 * n))
+        _known.update(n=n, up=_powers(BASE, n), down=_powers(INVERSE, n))
+    return _known["up"], _known["down"]
+
+
 def words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^ \\t-\\r]+ of a text's bytes, in order, and where they start; A-Z lower-cased. Equal words
-    have equal hashes."""
+    have equal hashes. A long text is hashed in windows that end between words."""
     data = np.frombuffer(raw, np.uint8)
     gap = SPACE[data]
-    edge = np.diff(gap.astype(np.int8), prepend=1, append=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, np.uint64), start
-    if _known["n"] < len(data) + 1:
-        n = max(1 << 16, 2 * len(data) + 1)
-        _known.update(n=n, up=_powers(BASE, n), down=_powers(INVERSE, n))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[data] * _known["up"][: len(data)])])
-    return mix((sums[end] - sums[start]) * _known["down"][start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), start
+    hashes, starts, lo = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while lo < len(data):
+        hi = min(lo + WINDOW, len(data))
+        if hi < len(data) and not gap[hi]:
+            step = int(gap[hi:].argmax())
+            hi = hi + step if gap[hi + step] else len(data)
+        edge = np.diff(gap[lo:hi].astype(np.int8), prepend=1, append=1)
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(start):
+            up, down = _tables(hi - lo + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[data[lo:hi]] * up[: hi - lo])])
+            hashes.append(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            starts.append(start + lo)
+        lo = hi
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
