@@ -56,8 +56,6 @@ class PairTable:
 class Encoder:
     """A vocabulary of ranks. Encodes pieces as repeated merges of the leftmost pair of minimum rank do."""
 
-    WIDE = 64  # longer pieces are merged one by one
-
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, cache: int = 200_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
@@ -77,61 +75,82 @@ class Encoder:
                     merged.append(rank)
         self.pairs = PairTable(np.array(pairs, np.int64), np.array(merged, np.int32))
 
-    def matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of up to WIDE bytes, all in one matrix: a round merges one pair of each row and closes its gap."""
+    def start(self, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Padded matrices of pieces, a row each: ids, ranks of the pairs that begin there, and places of the tokens after
+        and before. The width is a whole number of spans, see leftmost."""
         length = np.array([len(p) for p in pieces])
-        width = int(length.max())
-        ids = np.full((len(pieces), width + 1), -1, np.int32)
-        ids[np.arange(width + 1)[None, :] < length[:, None]] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        ranks = np.full((len(pieces), width + 1), NONE, np.int32)
-        ranks[:, :-1] = self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width)
+        span = self.span(int(length.max()))
+        width = -(-(int(length.max()) + 1) // span) * span
+        ids = np.full((len(pieces), width), -1, np.int32)
+        ids[np.arange(width)[None, :] < length[:, None]] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        ranks = np.full((len(pieces), width), NONE, np.int32)
+        ranks[:, :-1] = self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
+        places = np.arange(width, dtype=np.int32)
+        return ids, ranks, np.tile(places + 1, (len(pieces), 1)), np.tile(places - 1, (len(pieces), 1))
+
+    @staticmethod
+    def span(width: int) -> int:
+        """Columns that share one minimum: all of a short row, about the root of a long one's width."""
+        return width + 1 if width < 512 else int(np.sqrt(width)) + 1
+
+    def matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces of similar lengths, in one matrix: each round merges the leftmost pair of minimum rank of every row.
+
+        A merged pair leaves a gap, over which the places before and after are linked; gaps are closed (compaction) when
+        they may be half of the width, and finished rows go when they are half of all. The minimum of a wide row is
+        found by the minima of its spans of columns, which a round renews where it changed them.
+        """
+        ids, ranks, after, before = self.start(pieces)
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
-        row = np.arange(len(pieces))
-        columns = np.arange(width + 1)
-        while len(row):
-            at = ranks.argmin(axis=1)
-            least = ranks[np.arange(len(row)), at]
-            over = least == NONE
-            if over.any():
-                for k, n in zip(np.flatnonzero(over), (ids[over] >= 0).sum(axis=1)):
-                    out[row[k]] = ids[k, :n].copy()
-                keep = ~over
-                row, ids, ranks, at, least = row[keep], ids[keep], ranks[keep], at[keep], least[keep]
-                if not len(row):
+        row, gaps = np.arange(len(pieces)), 0
+        while True:
+            width = ids.shape[1]
+            span = min(width, self.span(width - 1))
+            lows = ranks.reshape(len(row), -1, span).min(axis=2) if span < width else None
+            while True:
+                every = np.arange(len(row))
+                if lows is None:
+                    at = ranks.argmin(axis=1)
+                else:
+                    block = lows.argmin(axis=1)
+                    at = block * span + ranks.reshape(len(row), -1, span)[every, block].argmin(axis=1)
+                least = ranks[every, at]
+                live = np.flatnonzero(least != NONE)
+                if 2 * len(live) <= len(row) or 2 * gaps >= width:
                     break
-            each = np.arange(len(row))
-            # columns after the merged pair move one to the left
-            source = np.minimum(columns[None, :] + (columns[None, :] > at[:, None]), columns[-1])
-            ids, ranks = np.take_along_axis(ids, source, 1), np.take_along_axis(ranks, source, 1)
-            ids[:, -1], ranks[:, -1] = -1, NONE
-            ids[each, at] = least
-            ranks[each, at] = self.pairs.find(least, ids[each, at + 1])
-            left = np.flatnonzero(at > 0)
-            ranks[left, at[left] - 1] = self.pairs.find(ids[left, at[left] - 1], least[left])
-        return out
-
-    def long(self, piece: bytes) -> np.ndarray:
-        """Ids of one long piece. A round merges every place of the minimum rank from the left, up to the first merge
-        after which a pair of lower rank would come first."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            ranks = self.pairs.find(ids[:-1], ids[1:])
-            least = ranks.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            run = np.flatnonzero(np.diff(at, prepend=-9) != 1)  # places in a row overlap: every second one stays
-            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-            before = np.where(np.diff(at, prepend=-9) == 2, least, ids[at - 1])
-            before[at == 0] = -1
-            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
-            merged = np.full(len(at), least, np.int32)
-            lower = np.flatnonzero(np.minimum(self.pairs.find(before, merged), self.pairs.find(merged, after)) < least)
-            at = at[: lower[0] + 1] if len(lower) else at
-            ids = ids.copy()
-            ids[at] = least
-            ids = np.delete(ids, at + 1)
-        return ids
+                at, least = at[live].astype(np.int32), least[live]
+                second = after[live, at]
+                third = after[live, second]
+                ids[live, at], ids[live, second], ranks[live, second] = least, -1, NONE
+                after[live, at] = third
+                inside = third < width
+                third = np.minimum(third, width - 1)
+                before[live[inside], third[inside]] = at[inside]
+                ranks[live, at] = self.pairs.find(least, np.where(inside, ids[live, third], -1))
+                first = before[live, at]
+                left = np.flatnonzero(first >= 0)
+                ranks[live[left], first[left]] = self.pairs.find(ids[live[left], first[left]], least[left])
+                if lows is not None:
+                    spans = ranks.reshape(len(row), -1, span)
+                    for place in (at, second, np.maximum(first, 0)):
+                        lows[live, place // span] = spans[live, place // span].min(axis=1)
+                gaps += 1
+            over = np.flatnonzero(least == NONE)
+            for k in over:
+                out[row[k]] = ids[k][ids[k] >= 0]
+            if not len(live):
+                return out
+            row, ids, ranks = row[live], ids[live], ranks[live]
+            closed = np.argsort(ids < 0, axis=1, kind="stable")
+            used = int((ids >= 0).sum(axis=1).max()) + 1
+            span = self.span(used - 1)
+            wide = -(-used // span) * span
+            keep = np.pad(closed[:, : min(wide, width)], ((0, 0), (0, max(0, wide - width))), mode="edge")
+            ids, ranks = np.take_along_axis(ids, keep, 1), np.take_along_axis(ranks, keep, 1)
+            ranks[ids < 0] = NONE
+            places = np.arange(wide, dtype=np.int32)
+            after, before = np.tile(places + 1, (len(row), 1)), np.tile(places - 1, (len(row), 1))
+            gaps = 0
 
     def learn(self, new: list[str]) -> None:
         """Encodes pieces that aren't known yet, in matrices of similar lengths."""
@@ -142,13 +161,13 @@ class Encoder:
             raw = piece.encode()
             if raw in self.ranks:
                 self.known[piece] = np.uint32(self.ranks[raw]).tobytes()
-            elif len(raw) > self.WIDE:
-                self.known[piece] = self.long(raw).astype("<u4").tobytes()
-            else:
-                by_width.setdefault(-(-len(raw) // 4), []).append((piece, raw))
+            else:  # buckets of lengths: by fours, and from 64 on by the leading two bits
+                n = len(raw)
+                by_width.setdefault(-(-n // 4) if n <= 64 else 16 + 4 * n.bit_length() + (n >> n.bit_length() - 3 & 3), []).append((piece, raw))
         for rows in by_width.values():
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
+            size = max(1, min(4096, 4_000_000 // max(len(raw) for _, raw in rows)))
+            for i in range(0, len(rows), size):
+                part = rows[i : i + size]
                 for (piece, _), ids in zip(part, self.matrix([raw for _, raw in part])):
                     self.known[piece] = ids.astype("<u4").tobytes()
 
