@@ -52,8 +52,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixity drill: the pages' archive against a second replica with known damage, which the audit must locate."""
     pages = _table(spark, sf_dir, "pages")
-    index = warc.archive(pages)
-    return warc.fixity(spark, index, warc.drill(pages, index))
+    return warc.fixity(spark, warc.archive(pages), warc.drill(pages))
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_near_dedup, op4_toxicity, op5_embedding_dedup, op6_mixing, op7_lm_scoring, op8_url_filter, op9_byte_bpe, op10_warc_fixity)}
