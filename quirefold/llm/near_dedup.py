@@ -262,7 +262,7 @@ def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame,
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, chunks: int, scratch: Scratch, rows: int = 512, set_bytes: int = 16_000_000) -> DataFrame:
+def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, chunks: int, scratch: Scratch, rows: int = 4096, set_bytes: int = 16_000_000) -> DataFrame:
     """Links (a, b) that join components within large buckets, found on full sets without emitting pairs.
 
     Documents that large buckets have in common are a cluster. A cluster is cut into blocks of at most so many rows and
@@ -313,7 +313,7 @@ def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFram
     return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id").mapInArrow(run, "a long, b long")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, large: int = LARGE, block_rows: int = 4096) -> DataFrame:
     """Groups documents whose sets of word shingles have 100 |A and B| >= percent |A or B|, chains included.
 
     Words are [^ \\t-\\r]+ of the text with A-Z lower-cased; a set has the distinct runs of so many words, or the whole
@@ -329,7 +329,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     bucket is found or lies inside a component already, and hot groups are joined by a number of pairs in proportion to
     their members. The number of chunks follows from percent: a link at the threshold, whose values differ each with
     its distance, shares no bucket with probability MISS at most (11 chunks at 85 %, 14 at 80 %). Shingles' hashes and
-    16-bit values that agree by chance only add candidates. A percent that this cannot reach is a ValueError.
+    16-bit values that agree by chance only add candidates. A percent that this cannot reach is a ValueError. large: members
+    beyond which a bucket is compared in blocks; block_rows: rows of a block, where its sets aren't large. Both change the
+    plan and not the result. The comparison of a cluster takes time with the square of its rows, in tasks of two blocks.
     """
     chunks, scratch = chunks_for(percent), Scratch(spark, "near")
     rows = scratch.save(sketch(docs, words), "sketches")
@@ -349,11 +351,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
 
     tried = nearest.unionByName(rest)
     member, buckets = open_buckets(nodes, labels, chunks, scratch)
-    found = small_bucket_pairs(member, buckets.where(F.col("g") <= LARGE), nodes, percent, chunks)
-    left, large = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "left"), buckets.where(F.col("g") > LARGE)
+    found = small_bucket_pairs(member, buckets.where(F.col("g") <= large), nodes, percent, chunks)
+    left, wide = scratch.save(found.join(tried, ["a", "b"], "left_anti"), "left"), buckets.where(F.col("g") > large)
     more = [confirmed(spark, left, docs, words, percent, scratch)] if left.limit(1).count() else []
-    if large.limit(1).count():
-        more.append(scratch.save(large_bucket_links(spark, member, large, nodes, docs, words, percent, chunks, scratch), "links"))
+    if wide.limit(1).count():
+        more.append(scratch.save(large_bucket_links(spark, member, wide, nodes, docs, words, percent, chunks, scratch, block_rows), "links"))
     if more:
         for part in more:
             links = links.unionByName(part)
