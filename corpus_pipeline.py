@@ -5,35 +5,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from quirefold.llm.common import Scratch
+from quirefold.llm.common import Scratch, ascii_lower, small
 
-#: A document is rejected if its language is undetermined or scores below this; four languages at random give 0.25.
-LEAST_SCORE = 0.26
-
-
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, for each id in ids (doc_id, distinct)."""
-    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+#: A document is rejected if its language is undetermined or scores below so many times what a text without any sign would.
+LEAST_SCORE = 1.04
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined. A null text, one without letters or a null id goes."""
-    found = language_id.language_id(spark, docs)
-    ids = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id")
-    ids = Scratch(spark, "language").save(ids.where("doc_id is not null").distinct(), "ids")
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    """Documents whose language is determined, row by row; a null text or one without letters goes."""
+    found = language_id.tagged(spark, docs)
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE * F.col("_chance"))).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
-    return _rows_of(docs, exact_dedup.exact_dedup(spark, docs).where("kept").select("doc_id").distinct())
+    """One document of each group of equal texts, the one with the largest id. Rows of one id with other texts are other
+    documents; of rows that repeat an id and a text, one stays, whichever."""
+    kept = exact_dedup.exact_dedup(spark, docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    own = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha": F.sha2(ascii_lower(F.col("text")), 256)})
+    rows = own.join(kept, own["_id"].eqNullSafe(kept["_id"]) & (own["_sha"] == kept["_digest"]), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (rows.dropDuplicates(["_id", "_sha"]) if repeated else rows).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), with the smallest id."""
-    return _rows_of(docs, near_dedup.near_dedup(spark, docs, words=5, percent=80).where("kept").select("doc_id").distinct())
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), with the smallest id.
+    Where an id is null or repeated, each row counts as a document by itself, under a hash of id and text."""
+    odd = Scratch(spark, "odd").save(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1 or _id is null").select("_id"), "ids")
+    few = small(odd, 100_000)
+    own = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    if odd.limit(1).count():
+        marked = (F.broadcast(odd) if few else odd).withColumn("_odd", F.lit(True))
+        own = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]), "left")
+        own = own.withColumn("_key", F.when(F.col("_odd"), F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text")).otherwise(F.col("doc_id").cast("long"))).drop("_id", "_odd")
+    kept = near_dedup.near_dedup(spark, own.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias("_key"))
+    return own.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

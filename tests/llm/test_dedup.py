@@ -182,3 +182,54 @@ def test_near_confirms_candidates_of_any_distance(spark, monkeypatch, members):
     monkeypatch.setattr(near_dedup, "sketch", lambda docs, words: spark.createDataFrame(rows, "doc_id long, n_shingles long, print binary, sig binary").coalesce(1))
     got = near_dedup.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=5, percent=80)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i for i in range(members - 1)} | {members - 1: 0}
+
+
+def test_near_large_buckets_in_blocks(spark, monkeypatch):
+    """Crowds that share a passage: buckets of several components, compared in several blocks of a cluster."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage, docs = [word() for _ in range(60)], []
+    for g in range(12):
+        own = [word() for _ in range(25)]
+        for _ in range(4):
+            text = passage + own
+            text[60 + rng.randrange(25)] = word()
+            docs.append((len(docs), " ".join(text)))
+    docs += [(5, docs[5][1])] * 2
+    sets = {i: set(shingle_set(t, 3).tolist()) for i, t in docs}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    used = []
+    inner = near_dedup.large_bucket_links
+    monkeypatch.setattr(near_dedup, "large_bucket_links", lambda *a, **k: used.append(1) or inner(*a, **k))
+    got = near_dedup.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), 3, 85, large=3, block_rows=7).collect()
+    assert used and len(got) == len(docs)
+    assert {r.doc_id: r.component_id for r in got} == brute_components(sets, linked)
+
+
+def test_components_of_hubs_and_chains(spark):
+    rng = random.Random(2)
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(400)] + [(5000 - i, 4999 - i) for i in range(200)]
+    edges += [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(260)] + [(299, 1400)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r.id: r.component for r in components(spark, df, Scratch(spark, "t"), hub_edges=20).collect()}
+    edges = [e for e in edges if e[0] != e[1]]
+    assert got == brute_components({x for e in edges for x in e}, edges)
+
+
+def test_embeddings_of_floats_with_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((4, 24))
+    data = [(i, (centre[i % 4] + 0.2 * rng.standard_normal(24)).astype(np.float32).tolist(), 9, "x") for i in range(60)]
+    data += [(3, data[3][1], 9, "x"), (None, data[4][1], 9, "x"), (None, None, 9, "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, n_links int, kept string")
+    got = embedding_dedup.embedding_dedup(spark, df, block=8).collect()
+    unit = {i: np.array(v, np.float32).astype(float) for i, v, *_ in data if i is not None}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    linked = [(a, b) for a, b in itertools.combinations(unit, 2) if unit[a] @ unit[b] >= 0.9]
+    assert linked and len(got) == len(data)
+    want = brute_components(unit, linked)
+    for r in got:
+        if r.vec_id is None:
+            assert (r.n_links, r.component_id, r.kept) == (0, None, True)
+        else:
+            assert (r.n_links, r.component_id, r.kept) == (sum(r.vec_id in e for e in linked), want[r.vec_id], want[r.vec_id] == r.vec_id)

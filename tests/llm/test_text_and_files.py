@@ -39,10 +39,10 @@ def test_encode_any_text(reference, text):
     assert ids(got) == reference.encode_ordinary(text) and enc.decode(got) == text.encode()
 
 
-@pytest.mark.parametrize("alphabet", ["ab", "aab", "etaoin", "日本語", string.ascii_letters])
+@pytest.mark.parametrize("alphabet", ["ab", "aab", "etaoin", "日本語", string.ascii_letters, "z"])
 def test_long_pieces(reference, alphabet):
     rng = random.Random(len(alphabet))
-    for n in (63, 64, 65, 500, 3000):
+    for n in (1, 2, 63, 64, 65, 511, 512, 513, 3000, 100_000 if alphabet == "ab" else 9000):
         text = "".join(rng.choice(alphabet) for _ in range(n))
         assert ids(bpe.encoder(PATH).encode([text])[0]) == reference.encode_ordinary(text)
 
@@ -100,26 +100,52 @@ SCHEMA = "page_id long, url string, html string, file string"
 def test_fixity_drill(spark):
     pages = spark.createDataFrame([(*p, "f") for p in PAGES], SCHEMA)
     index = warc.archive(pages, 10)
-    got = warc.fixity(spark, index, warc.drill(pages, index, (7, 3), (11, 4)), fanout=3).collect()
+    rules = {"altered": (7, 3), "missing": (11, 4), "moved": (13, 6)}
+    got = warc.fixity(spark, index, warc.drill(pages, 10, **rules), span=300, fanout=3).collect()
     assert len(got) == len(PAGES)
-    want = lambda i: "intact" if i is None else "missing" if i % 11 == 4 else "altered" if i % 7 == 3 else "intact"
+    hit = lambda i, name: i is not None and i % rules[name][0] == rules[name][1]
+    want = lambda i: next((name for name in ("missing", "moved", "altered") if hit(i, name)), "intact")
     assert all(r.status == want(r.page_id) for r in got)
     by_file = {}
     for r in sorted(got, key=lambda r: (r.file, r.record)):
         assert r.offset == by_file.get(r.file, 0)
         by_file[r.file] = r.offset + r.length
+    for r in got:
+        assert (r.found_at is None) == (r.status == "missing") and (r.found_at == r.offset) == (r.status in ("intact", "altered"))
+        assert r.status != "moved" or r.found_at >= by_file[r.file]
     one = next(r for r in got if r.page_id == 1)
     html = "<p>é1</p>"
     raw = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: http://x/1\r\nContent-Type: text/html\r\nContent-Length: {len(html.encode())}\r\n\r\n{html}\r\n\r\n".encode()
     assert one.record_sha256 == hashlib.sha256(raw).hexdigest() and one.length == len(raw)
 
 
+def test_fixity_of_a_replica_with_other_records(spark):
+    parts = [bytes([97 + k]) * (10 + k) for k in range(12)] + [b"a" * 10]  # the first and the last are equal
+    at = [sum(map(len, parts[:k])) for k in range(len(parts))]
+    index = spark.createDataFrame([(k, 0, k, at[k], len(b), hashlib.sha256(b).hexdigest()) for k, b in enumerate(parts)] + [(99, 5, 0, 0, 3, "x")], "page_id long, file long, record long, offset long, length long, digest string")
+    copy = {at[k]: b for k, b in enumerate(parts)}
+    copy[at[2]] = parts[2][:-3]  # truncated
+    copy[at[5]], copy[at[6]] = parts[5] + b"!", b"new"  # longer; replaced
+    del copy[at[3]], copy[at[8]], copy[at[12]]  # lost; behind the end; the second of two equal ones behind the end
+    copy |= {at[12] + 10: parts[8], at[12] + 40: parts[12], at[12] + 60: b"more"}
+    replica = warc.scanned(spark.createDataFrame([(0, o, bytearray(b)) for o, b in copy.items()] + [(7, 0, bytearray(b"alone"))], "file long, offset long, bytes binary"))
+    got = warc.fixity(spark, index, replica, span=25, fanout=2).collect()
+    by_record = {r.record: (r.status, r.found_at) for r in got if r.file == 0 and r.record is not None}
+    want = {k: ("intact", at[k]) for k in range(13)} | {2: ("altered", at[2]), 3: ("missing", None), 5: ("altered", at[5]), 6: ("altered", at[6]), 8: ("moved", at[12] + 10), 12: ("moved", at[12] + 40)}
+    assert by_record == want
+    assert sorted((r.file, r.offset, r.length) for r in got if r.status == "extra") == [(0, at[12] + 60, 4), (7, 0, 5)]
+    assert [(r.page_id, r.status) for r in got if r.file == 5] == [(99, "missing")]
+    shifted = index.withColumn("offset", F.col("offset") + F.when(F.col("record") >= 4, 7).otherwise(0)).select("file", "offset", "length", "digest")
+    got = {r.record: r.status for r in warc.fixity(spark, index, shifted, span=25, fanout=2).collect() if r.file == 0}
+    assert got == {k: "intact" if k < 4 else "moved" for k in range(13)}
+
+
 def test_audit_descends_mismatches_only(spark):
-    pages = spark.createDataFrame([(*p, "f") for p in PAGES if p[0] and p[0] < 70], SCHEMA)
+    rows = [(0, 10 * k, 10, f"d{k}") for k in range(70)]
+    schema = "file long, offset long, length long, digest string"
     scratch = Scratch(spark, "t")
-    index = warc.archive(pages, 1000)
-    left = warc.merkle_tree(spark, index, scratch, 4)
-    right = warc.merkle_tree(spark, index.withColumn("digest", F.when(F.col("record") == 17, "x").otherwise(F.col("digest"))), scratch, 4)
+    left = warc.merkle_tree(spark.createDataFrame(rows, schema), scratch, 4, 10, 4)
+    right = warc.merkle_tree(spark.createDataFrame([(*r[:3], "x" if r[1] == 170 else r[3]) for r in rows], schema), scratch, 4, 10, 4)
     doubt, met = warc.audit(spark, left, right, scratch, 4)
     assert [(r.file, r.node) for r in doubt.collect()] == [(0, 17)] and met == [1] * len(left)
     assert warc.audit(spark, left, left, scratch, 4)[0].count() == 0
@@ -127,7 +153,7 @@ def test_audit_descends_mismatches_only(spark):
 
 def test_fixity_empty(spark):
     pages = spark.createDataFrame([], SCHEMA)
-    assert warc.fixity(spark, warc.archive(pages), warc.drill(pages, warc.archive(pages))).collect() == []
+    assert warc.fixity(spark, warc.archive(pages), warc.drill(pages)).collect() == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -153,7 +179,7 @@ def test_schedule(spark):
     assert [s for s, _ in slots] == list(range(len(slots)))
     for t in range(1, len(slots) + 1):
         for source, w in weights.items():
-            assert abs(sum(s == source for _, s in slots[:t]) - w / 4 * t) < 1 + 1e-3 * t
+            assert abs(sum(s == source for _, s in slots[:t]) - Fraction(w) / 4 * t) < 1
     first = [r.doc_id for r in got if r.epoch == 0]
     assert sorted(first) == sorted(d[0] for d in docs)
 
@@ -179,6 +205,34 @@ def test_pfair_keeps_the_weights_over_a_long_run(weights):
         assert all(w * t - 1 < i and i + 1 < w * (t + 1) + 1 for i, t in enumerate(own))
 
 
+def test_pfair_over_a_million_slots_and_small_weights():
+    weights = [1.0, 1e-3, 1e-6, 0.37]
+    total = sum(map(Fraction, weights))
+    slots = [[] for _ in weights]
+    for s, _, part in mixing.pfair(weights, [math.ceil(Fraction(w) / total * 1_000_000) for w in weights]):
+        slots[s].extend(part)
+    whole = mixing.whole(weights)
+    for w, own in zip(whole, slots):  # in whole numbers: after slot t, the count is within one of w (t + 1) / sum
+        assert all(abs((i + 1) * sum(whole) - w * (t + 1)) < sum(whole) and abs(i * sum(whole) - w * t) < sum(whole) for i, t in enumerate(own))
+    assert sum(map(len, slots)) >= 1_000_000
+
+
+def test_pfair_against_a_schedule_by_search():
+    """Every slot goes to the released block of the earliest deadline, looked for among all sources in fractions."""
+    weights, length = [0.5, 0.2, 0.2, 0.07, 0.03], 400
+    shares = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    had, want = [0] * 5, []
+    for t in range(length):
+        ready = [(math.ceil((had[s] + 1) / w), s) for s, w in enumerate(shares) if math.floor(had[s] / w) <= t]
+        want.append(min(ready)[1])
+        had[want[-1]] += 1
+    got = [0] * 2 * length
+    for s, _, part in mixing.pfair(weights, had):
+        for t in part:
+            got[t] = s
+    assert got[:length] == want
+
+
 def test_mix_keeps_target_weights_over_a_long_run(spark, monkeypatch):
     monkeypatch.setattr(mixing, "HELD", 5000)  # slots in several parts, and not broadcast
     df = spark.range(60_000).selectExpr("id AS doc_id", "cast(id % 20 AS string) AS source").unionByName(spark.createDataFrame([(60_000, "one")], "doc_id long, source string"))
