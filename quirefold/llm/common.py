@@ -68,6 +68,7 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(conf).delete(path, True)
+        jvm.System.gc()  # Spark deletes the shuffle files of finished jobs when the driver has collected them
 
 
 def small(df: DataFrame, rows: int) -> bool:

@@ -97,6 +97,15 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs with a < b."""
+    a, b = a[a < b], b[a < b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    return np.stack([a[new], b[new]], 1)
+
+
 def linear_pairs(nodes: DataFrame, chunks: int) -> DataFrame:
     """Candidate pairs (a < b) of nodes(id, sig): in each bucket of the index, every member with the bucket's smallest
     id and with the member before it. A task first does so with its own members of a bucket and sends on only their
@@ -116,7 +125,7 @@ def linear_pairs(nodes: DataFrame, chunks: int) -> DataFrame:
             again = np.flatnonzero(~new)
             a = np.concatenate([first[again], who[again - 1]])
             b = np.concatenate([who[again], who[again]])
-            pairs = np.unique(np.stack([a, b], 1)[a < b], axis=0)
+            pairs = distinct_pairs(a, b)
             key = np.concatenate([flat[new].view(np.int64), mix(pairs[:, 0].astype(np.uint64) * np.uint64(31) + pairs[:, 1].astype(np.uint64)).view(np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([who[new], pairs[:, 0]])), pa.array(np.concatenate([np.full(new.sum(), -1), pairs[:, 1]]).astype(np.int64), mask=np.concatenate([np.ones(new.sum(), bool), np.zeros(len(pairs), bool)]))], ["key", "a", "b"])
 
@@ -132,8 +141,7 @@ def linear_pairs(nodes: DataFrame, chunks: int) -> DataFrame:
                 first = np.where(np.cumsum(new) > 0, a[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))], leader if leader is not None else 0)
                 before = np.concatenate([[prior if prior is not None else 0], a[:-1]])
                 hit = ~new
-                pairs = np.unique(np.concatenate([np.stack([first[hit], a[hit]], 1), np.stack([before[hit], a[hit]], 1)]), axis=0)
-                pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+                pairs = distinct_pairs(np.concatenate([first[hit], before[hit]]), np.concatenate([a[hit], a[hit]]))
                 last, leader, prior = key[-1], first[-1], a[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
             yield done

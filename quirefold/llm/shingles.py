@@ -11,6 +11,12 @@ VALUE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64)
 VALUE[ord("A") : ord("Z") + 1] = VALUE[ord("a") : ord("z") + 1]  # A-Z count as a-z, in words only
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting; np.unique alone hashes, which takes many times as long."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -71,4 +77,4 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(min(words, len(h))):
         out = mix(out * np.uint64(0xA24BAED4963EE407) + h[k : k + n])
-    return np.unique(out)
+    return distinct(out)
