@@ -267,12 +267,13 @@ def truncate_words(text: Column, most: int = 60, floor: int = 20) -> Column:
 
 
 def token_error_kind(gt: Column, hyp: Column) -> Column:
-    """Kind of a misread token: digit, order (same characters), unrelated (none shared), matra, consonant, other."""
+    """Kind of a misread token: digit (other numbers), order (same characters), unrelated (none shared), matra, consonant,
+    other."""
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     signs = lambda x: F.array_sort(F.array_distinct(F.filter(chars(x), lambda c: c.rlike("[ा-्ॢॣ]"))))
     cons = lambda x: F.array_sort(F.array_distinct(F.filter(chars(x), lambda c: c.rlike("[क-ह]"))))
     return (
-        F.when(has_digit(gt) | has_digit(hyp), "digit")
+        F.when(digit_string(gt) != digit_string(hyp), "digit")
         .when(F.array_sort(chars(gt)) == F.array_sort(chars(hyp)), "order")
         .when(F.size(F.array_intersect(chars(gt), chars(hyp))) == 0, "unrelated")
         .when(signs(gt) != signs(hyp), "matra")
@@ -289,10 +290,6 @@ def output_name(path: Column, suffix: str, ext: str) -> Column:
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(f"{suffix}.{ext}"))
 
 
-def ratio_or(a: Column, b: Column, empty) -> Column:
-    return F.when(b == 0, F.lit(empty)).otherwise(a / b)
-
-
 def cer(gt: Column, hyp: Column) -> Column:
     """Character edits over the truth's length; 0 or 1 where the truth is empty. May exceed 1."""
     g, h = normalize(gt), normalize(hyp)
@@ -311,14 +308,20 @@ def digit_cer(gt: Column, hyp: Column) -> Column:
     return cer(F.array_join(digit_tokens(gt), " "), F.array_join(digit_tokens(hyp), " "))
 
 
-#: Private-use characters that stand for words, so that word edits are character edits.
-WORD_ALPHABET = "".join(chr(0xE000 + i) for i in range(6400))
+def encoded(text: Column, charset: Column) -> Column:
+    """Class ids of a text's characters: places in the charset from 1, 0 being a recogniser's blank; others are left out."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.filter(F.transform(chars, lambda c: F.call_function("locate", c, charset)), lambda k: k > 0)
+
+
+#: The worst flags of a row come first; risks from which a bar is high, or beyond which it is middling.
+AMBER, HIGH_RISK, MIDDLE_RISK = ("digit_uncertain", "low_conf", "unknown_word"), 5.0, 1.0
+
+
+def row_tone(flags: Column) -> Column:
+    """Tone of a queue's row: that of its worst flag."""
+    return F.when(F.array_contains(flags, "digit_conflict"), "red").when(F.arrays_overlap(flags, F.array(*map(F.lit, AMBER))), "amber").otherwise("neutral")
 
 
-def wer(gt: Column, hyp: Column) -> Column:
-    """Word edits over the truth's words; null where both together have over 6,400 different words (use wer_words)."""
-    g, h = tokens(gt), tokens(hyp)
-    words = F.array_distinct(F.concat(g, h))
-    coded = lambda x: F.array_join(F.transform(x, lambda w: F.substring(F.lit(WORD_ALPHABET), F.array_position(words, w).cast("int"), F.lit(1))), "")
-    found = F.when(F.size(words) <= 6400, F.levenshtein(coded(g), coded(h)) / F.size(g))
-    return F.when(F.size(g) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(found)
+def risk_tone(risk: Column) -> Column:
+    return F.when(risk >= HIGH_RISK, "high").when(risk > MIDDLE_RISK, "mid").otherwise("low")

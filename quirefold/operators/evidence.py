@@ -54,12 +54,16 @@ def osd_rotation(rotate: Column, confidence: Column, side: Column) -> Column:
     return F.when(side < 1500, "skipped").when(confidence < 3, "low_confidence").when(rotate == 180, "not_applied").when(rotate == 0, "upright").otherwise("rotate")
 
 
-def upload_error(name: Column, content: Column, most: int = 20_000_000) -> Column:
-    """The first rule that an upload breaks, or null: extension, empty, size, magic."""
+def upload_error(name: Column, content: Column, most: int = 20_000_000, megapixels: int = 40, least: int = 64) -> Column:
+    """The first rule that an upload breaks, or null: extension, empty, size, magic, and of images whose header tells their
+    size (PNG, BMP) decode, megapixels, small."""
+    from quirefold.functions.images import image_size
+
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     head = F.hex(F.substring(content, 1, 4))
+    side = image_size(content)
     magic = F.when(ext == "pdf", head == "25504446").when(ext == "png", head == "89504E47").when(ext.isin("jpg", "jpeg"), head.startswith("FFD8FF")).otherwise(F.lit(True))
-    return F.when(~ext.isin("pdf", "png", "jpg", "jpeg", "tif", "tiff", "webp", "bmp"), "extension").when(F.octet_length(content) == 0, "empty").when(F.octet_length(content) > most, "size").when(~magic, "magic")
+    return F.when(~ext.isin("pdf", "png", "jpg", "jpeg", "tif", "tiff", "webp", "bmp"), "extension").when(F.octet_length(content) == 0, "empty").when(F.octet_length(content) > most, "size").when(~magic, "magic").when(ext.isin("png", "bmp") & side.isNull(), "decode").when(side["width"] * side["height"] > megapixels * 1_000_000, "megapixels").when((side["width"] < least) | (side["height"] < least), "small")
 
 
 def digit_added(engine: Column, reader: Column) -> Column:

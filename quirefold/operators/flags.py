@@ -82,9 +82,18 @@ def isotonic(conf: Column, xs: list[float], ys: list[float], expanded: bool = Fa
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), out * 100))
 
 
-def infer_angle(share: Column, confident: Column, vertical: Column, probe: Column | None = None) -> Column:
-    """Orientation decision from line votes: first rule that holds."""
-    return F.when((share >= 0.6) & (confident >= 0.4), "votes-180").when(vertical >= 0.6, "probe-needed").when(share >= 0.5, "vote-ambiguous").otherwise("upright")
+def infer_angle(share: Column, confident: Column, vertical: Column, tokens: Column, auto: bool = True, least: int = 5) -> Column:
+    """Orientation from line votes and the share of upright boxes: struct(source, angle to turn by, raw angle suspected), by
+    the first rule that holds. Votes (null: there are none) count on pages of at least so many tokens. Without auto
+    nothing is turned: the source is off and the raw angle tells what would have been done."""
+    known = share.isNotNull() & (tokens >= least)
+    rules = [(known & (share >= 0.6) & (confident >= 0.4), "votes-180", 180, 180), (vertical >= 0.6, "probe-needed", 0, 90), (known & (share >= 0.5), "vote-ambiguous", 0, 180)]
+    source, angle, raw = F.lit("upright"), F.lit(0), F.lit(None).cast("int")
+    for rule, name, turn, seen in rules[::-1]:
+        source = F.when(rule, name if auto else "off").otherwise(source)
+        angle = F.when(rule, turn if auto else 0).otherwise(angle)
+        raw = F.when(rule, seen).otherwise(raw)
+    return F.struct(source.alias("source"), angle.alias("angle"), raw.alias("raw"))
 
 
 def harvest_reason(chars: Column, own_share: Column, invalid: Column) -> Column:
@@ -92,7 +101,24 @@ def harvest_reason(chars: Column, own_share: Column, invalid: Column) -> Column:
     return F.when(chars < 300, "too_little_text").when(own_share < 0.4, "not_the_script").when(invalid > 0.02, "damaged_text")
 
 
+#: Flags with a colour, in order of precedence; any other flag is drawn as none.
+PALETTE = (("digit_conflict", "red"), ("low_conf", "amber"), ("digit_uncertain", "amber"), ("unknown_word", "amber"), ("multi_read_conflict", "amber"), ("context_conflict", "amber"))
+
+
 def colour(flags: Column) -> Column:
-    """Colour of the first flag in the palette's order; green without any."""
-    red = ("digit_conflict", "cross_model_conflict", "multi_read_conflict", "context_conflict")
-    return F.when(F.size(flags) == 0, "green").when(F.arrays_overlap(flags, F.array(*map(F.lit, red))), "red").otherwise("amber")
+    """Colour of the first flag of the palette that a token has; green without any."""
+    out = F.lit("green")
+    for flag, name in PALETTE[::-1]:
+        out = F.when(F.array_contains(flags, flag), name).otherwise(out)
+    return out
+
+
+def flag_page(tokens: DataFrame, threshold: float = 60.0, devanagari: bool = False, dates: bool = False, calibration: tuple[list[float], list[float]] | None = None, lexicon: DataFrame | None = None, words: Column | None = None) -> DataFrame:
+    """tokens(doc_id, pos, text, conf) with flags, in fixed order, and cal_conf, the calibrated confidence to two places
+    (null without a calibration). Words outside the lexicon are flagged last, and on Devanagari pages only."""
+    rows = tokens.withColumn("flags", flag_tokens(F.col("text"), F.col("conf"), threshold, devanagari, dates=dates))
+    rows = rows.withColumn("cal_conf", F.round(isotonic(F.col("conf"), *calibration), 2) if calibration else F.lit(None).cast("double"))
+    if not devanagari or lexicon is None or words is None:
+        return rows
+    met = unknown_word(rows, lexicon, words)
+    return met.withColumn("flags", F.when(F.col("unknown"), F.concat("flags", F.array(F.lit("unknown_word")))).otherwise(F.col("flags"))).drop("unknown")

@@ -57,7 +57,10 @@ def match_corrections(tokens: DataFrame, corrections: DataFrame, page: str = "do
     pad = F.greatest(F.lit(8.0), 0.5 * (F.col("y1") - F.col("y0")))
     same = ((F.coalesce("original", F.lit("")) == "") | (F.col("original") == F.col("now")))
     inside = tx.between(F.col("x0") - pad, F.col("x1") + pad) & ty.between(F.col("y0") - pad, F.col("y1") + pad)
-    found = open_.join(t, page).where(same & inside).groupBy(page, "seq").agg(F.min("pos").alias("by_box"))
+    side = 64  # padded boxes and centres meet through the cells of a grid, not as all pairs of a page
+    span = lambda lo, hi: F.sequence(F.floor(lo / side), F.floor(hi / side))
+    wide = open_.withColumn("i", F.explode(span(F.col("x0") - pad, F.col("x1") + pad))).withColumn("j", F.explode(span(F.col("y0") - pad, F.col("y1") + pad)))
+    found = wide.join(t.withColumns({"i": F.floor(tx / side), "j": F.floor(ty / side)}), [page, "i", "j"]).where(same & inside).groupBy(page, "seq").agg(F.min("pos").alias("by_box"))
     return first.join(found, [page, "seq"], "left").withColumn("pos", F.coalesce("pos", "by_box")).drop("by_box")
 
 
@@ -83,17 +86,28 @@ def line_of_token(tokens: DataFrame, lines: DataFrame, page: str = "doc_id") ->
     return tokens.join(found, [page, "pos"], "left").withColumn("line_no", F.coalesce("line_no", F.lit(-1)).cast("long"))
 
 
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def in_bands(rows: DataFrame, top: str, bottom: str, height: int = 64) -> DataFrame:
+    """rows once for each band of the page that they touch."""
+    return rows.withColumn("band", F.explode(F.sequence(F.floor(F.col(top) / height), F.floor(F.greatest(top, bottom) / height))))
+
+
+def meets() -> Column:
+    return (F.col("x0") <= F.col("lx1")) & (F.col("lx0") <= F.col("x1")) & (F.col("y0") <= F.col("ly1")) & (F.col("ly0") <= F.col("y1"))
+
+
 def overlapping(tokens: DataFrame, boxes: DataFrame, page: str = "doc_id") -> DataFrame:
-    """Tokens whose box meets any box (lx0..ly1) of the page, edges included."""
-    meets = (F.col("x0") <= F.col("lx1")) & (F.col("lx0") <= F.col("x1")) & (F.col("y0") <= F.col("ly1")) & (F.col("ly0") <= F.col("y1"))
-    t, b = tokens.alias("t"), boxes.alias("b")
-    return t.join(b, (F.col(f"t.{page}") == F.col(f"b.{page}")) & meets, "left_semi")
+    """Tokens whose box meets any box (lx0..ly1) of the page, edges included. They meet through bands of height."""
+    met = in_bands(tokens.select(page, "pos", *BOX), "y0", "y1").join(in_bands(boxes, "ly0", "ly1"), [page, "band"]).where(meets())
+    return tokens.join(met.select(page, "pos").distinct(), [page, "pos"], "left_semi")
 
 
 def digit_inventions(tokens: DataFrame, lines: DataFrame, page: str = "doc_id") -> DataFrame:
     """Digit tokens that meet lines (line_text, lx0..ly1) of the page, none of which has digits."""
-    meets = (F.col("x0") <= F.col("lx1")) & (F.col("lx0") <= F.col("x1")) & (F.col("y0") <= F.col("ly1")) & (F.col("ly0") <= F.col("y1"))
-    met = tokens.where(T.has_digit(F.col("text"))).join(lines, page).where(meets).groupBy(page, "pos").agg(F.bool_or(T.has_digit(F.col("line_text"))).alias("any"), F.first("text").alias("text"), F.first("flags").alias("flags"))
+    rows = in_bands(tokens.where(T.has_digit(F.col("text"))), "y0", "y1")
+    met = rows.join(in_bands(lines, "ly0", "ly1"), [page, "band"]).where(meets()).groupBy(page, "pos").agg(F.bool_or(T.has_digit(F.col("line_text"))).alias("any"), F.first("text").alias("text"), F.first("flags").alias("flags"))
     return met.where(~F.col("any")).select(page, "pos", "text", (F.size("flags") > 0).alias("flagged"))
 
 

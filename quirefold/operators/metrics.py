@@ -42,12 +42,34 @@ def marked(tokens: DataFrame, truth: DataFrame, page: str = "doc_id") -> DataFra
     return tokens.withColumn("t", T.norm_token(F.col("text"))).join(known, [page, "t"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
-def token_stats(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """Counts and rates of tokens(ok, text, flags): errors, flags and both, for all tokens and those with digits."""
-    d, e, f = T.has_digit(F.col("text")), ~F.col("ok"), F.size("flags") > 0
-    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    out = tokens.groupBy(*by).agg(
-        F.count("*").alias("total"), count(d, "digit_total"), count(e, "errors"), count(f, "flagged"), count(f & e, "flagged_errors"),
+def classed(tokens: DataFrame, truth: DataFrame, by: list[str], classes: dict[str, Column], sums: dict[str, Column] | None = None, page: str = "doc_id") -> DataFrame:
+    """Tokens counted (n) per by, class and ok: whether the normalised token is among truth(page, t) of its page. Equal tokens
+    of a page are counted first, so the join sees each of them once."""
+    rows = tokens.select(*by, page, T.norm_token(F.col("text")).alias("t"), *(c.alias(k) for k, c in classes.items()), *(c.alias(f"_{k}") for k, c in (sums or {}).items()))
+    extra = [F.sum(f"_{k}").alias(k) for k in sums or {}]
+    each = rows.groupBy(*dict.fromkeys([*by, page, "t", *classes])).agg(F.count("*").alias("n"), *extra)
+    met = each.join(truth.select(page, "t").distinct().withColumn("ok", F.lit(True)), [page, "t"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return met.select(*dict.fromkeys([*by, *classes]), "ok", "n", *(sums or {}))
+
+
+def line_words(tokens: DataFrame, truth: DataFrame, by: list[str], page: str = "doc_id") -> DataFrame:
+    """Tokens(pos, text, granularity, flags) as token_stats counts them: (by, d, f, ok, n). A line of several words counts as
+    so many tokens, all of them right if each is in truth(page, t), else all wrong; d: any of them has a digit."""
+    parts = T.tokens(F.col("text"))
+    several = (F.col("granularity") == "line") & (F.size(parts) > 1)
+    each = tokens.select(*by, page, "pos", (F.size("flags") > 0).alias("f"), F.explode_outer(F.when(several, parts).otherwise(F.array("text"))).alias("w"))
+    each = each.withColumn("t", T.norm_token(F.col("w"))).join(truth.select(page, "t").distinct().withColumn("known", F.lit(True)), [page, "t"], "left")
+    keys = list(dict.fromkeys([*by, page]))
+    return each.groupBy(*keys, "pos").agg(F.first("f").alias("f"), F.bool_or(T.has_digit(F.col("w"))).alias("d"), F.bool_and(F.coalesce("known", F.lit(False))).alias("ok"), F.count("*").alias("n"))
+
+
+def token_stats(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and rates of counts(d: has digits, f: flagged, ok, n): errors, flags and both, for all tokens and those with
+    digits."""
+    d, e, f = F.col("d"), ~F.col("ok"), F.col("f")
+    count = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
+    out = counts.groupBy(*by).agg(
+        F.sum("n").alias("total"), count(d, "digit_total"), count(e, "errors"), count(f, "flagged"), count(f & e, "flagged_errors"),
         count(f & ~e, "flagged_correct"), count(d & e, "digit_errors"), count(d & e & f, "digit_flagged_errors"), count(d & f, "digit_flagged"),
     )
     c = F.col
@@ -97,12 +119,14 @@ def hallucination(restored: DataFrame, known: DataFrame, page: str = "doc_id") -
     return out.withColumns({"invented_rate": F.col("invented") / n, "invented_digit_rate": F.col("invented_digits") / n})
 
 
-def ece_tokens(tokens: DataFrame, by: list[str], bins: int = 10, calibrated: str | None = None) -> DataFrame:
-    """Expected calibration error of tokens(conf, ok) in left-closed bins; a calibrated 0 counts as missing."""
+def ece_tokens(tokens: DataFrame, truth: DataFrame, by: list[str], bins: int = 10, calibrated: str | None = None, page: str = "doc_id") -> DataFrame:
+    """Expected calibration error of tokens(conf), right if their page's truth(page, t) has them, in left-closed bins; a
+    calibrated 0 counts as missing. Tokens are counted per bin before they meet the truth."""
     conf = F.col("conf") if calibrated is None else F.coalesce(F.nullif(F.col(calibrated), F.lit(0.0)), F.col("conf"))
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf / 100))
-    rows = tokens.withColumn("p", p).withColumn("b", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
-    return _ece(rows, by)
+    counts = classed(tokens, truth, by, {"b": F.least(F.floor(p * bins), F.lit(bins - 1))}, {"s": p}, page)
+    binned = counts.groupBy(*by, "b").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("c"), (F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)) / F.sum("n")).alias("a"))
+    return binned.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
 def ece_fit(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
@@ -143,9 +167,20 @@ def pava(values: list[float], weights: list[float]) -> tuple[list[float], list[f
 
 
 def equal_count_bins(rows: DataFrame, bins: int, by: list[str], order: list[str]) -> DataFrame:
-    """Means of rows(conf 0-100, ok) in bins of equal counts: x, y, n for each bin."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    cut = rows.withColumn("bin", F.ntile(bins).over(w))
+    """Means of rows(conf 0-100, ok) in bins of equal counts, in the order given, which begins with conf: x, y, n for each
+    bin; the first bins are one larger where they don't come out even.
+
+    Rows are numbered among those of their group and conf only; where a conf begins follows from counts per conf.
+    """
+    key = [*by, order[0]]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    own = F.row_number().over(Window.partitionBy(*key).orderBy(*order[1:])) - 1
+    at, size, odd = F.col("_start") + F.col("_k"), F.floor(F.col("_all") / bins), F.col("_all") % bins
+    large = odd * (size + 1)
+    place = F.when(at < large, F.floor(at / (size + 1))).otherwise(F.floor((at - large) / F.greatest(size, F.lit(1))) + odd) + 1
+    cut = rows.withColumn("_k", own).join(starts, key).withColumn("bin", place.cast("int"))
     return cut.groupBy(*by, "bin").agg(F.avg(F.col("conf") / 100).alias("x"), F.avg(F.col("ok").cast("double")).alias("y"), F.count("*").alias("n"))
 
 

@@ -15,8 +15,22 @@ def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def split(rows: DataFrame, key: str, share: float = 0.05, seed: int = 0) -> DataFrame:
-    """rows with part 'val' for a share of them by hash, else 'train'."""
-    return rows.withColumn("part", F.when(F.pmod(hash_order(key, seed=seed), F.lit(1_000_000)) < int(share * 1_000_000), "val").otherwise("train"))
+    """rows with part 'val' for exactly max(1, int(share n)) of them, those of the smallest hashes, else 'train'.
+
+    Rows are counted per range of hashes (2^16 numbers come to the driver); only the range in which the cut lies is ranked.
+    """
+    own = rows.withColumns({"_h": F.shiftrightunsigned(hash_order(key, seed=seed), 48), "_order": hash_order(key, seed=seed)})
+    counts = sorted((r["_h"], r["n"]) for r in own.groupBy("_h").agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in counts)
+    left, cut = max(1, int(total * share)), -1
+    for cut, n in counts:
+        if n >= left:
+            break
+        left -= n
+    plain = own.where(F.col("_h") != cut).withColumn("part", F.when(F.col("_h") < cut, "val").otherwise("train"))
+    place = F.row_number().over(Window.partitionBy("_h").orderBy(F.expr("_order & 281474976710655"), key))
+    ranked = own.where(F.col("_h") == cut).withColumn("part", F.when(place <= left, "val").otherwise("train"))
+    return plain.unionByName(ranked).drop("_h", "_order")
 
 
 def capped(rows: DataFrame, group: str, order: list[str], per_group: int, total: int) -> DataFrame:

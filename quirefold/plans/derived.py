@@ -8,7 +8,14 @@ SPACE = "[ \\t\\n\\r\\f\\v]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name)
+
+
+def spread(rows: DataFrame, name: str) -> DataFrame:
+    """Documents dealt over all cores if they come in fewer pieces than there are cores, so that a small file of one row
+    group isn't one task; a table of more pieces, as any large one, is left as it is and nothing is shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def second(text: Column) -> Column:
@@ -69,3 +76,24 @@ def values(rows: list[tuple], names: str) -> str:
     """The same rows as SQL."""
     put = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
     return f"(VALUES {', '.join('(' + ', '.join(map(put, r)) + ')' for r in rows)}) AS v({names})"
+
+
+#: Latin letters as Devanagari ones and signs, so that tables without any give tokens of that script, right and wrong.
+SCRIPT = ("aeiouhmntsrkdlg", "ाेिोु्ंनतसरकदलग")
+
+
+def deva(text: Column) -> Column:
+    return F.translate(text, *SCRIPT)
+
+
+DEVA = f"translate({{}}, '{SCRIPT[0]}', '{SCRIPT[1]}')"
+
+
+def invalid_sql(token: str, punct: str) -> str:
+    """functions.text.invalid_devanagari in SQL."""
+    from quirefold.functions.text import CLASSES
+
+    body = f"regexp_replace(trim({token}, '{punct}'), '[^{''.join(c for _, c in CLASSES)}]', 'O', 'g')"
+    for letter, chars in CLASSES:
+        body = f"regexp_replace({body}, '[{chars}]', '{letter}', 'g')"
+    return f"(contains({token}, chr(65533)) OR (NOT regexp_matches({body}, '^M+$') AND regexp_matches({body}, '(^|[^CN])[VHN]|(^|[HO])M')))"

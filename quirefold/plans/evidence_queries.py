@@ -65,16 +65,20 @@ def osd(spark, sf):
     return D.literals(spark, TURNS, "rotate int, confidence double, side int").withColumn("verdict", E.osd_rotation(F.col("rotate"), F.col("confidence"), F.col("side")))
 
 
-@query("flg_infer_angle", "SELECT event_id, CASE WHEN value % 1 >= 0.6 AND event_id % 10 >= 4 THEN 'votes-180' WHEN event_id % 7 >= 5 THEN 'probe-needed' WHEN value % 1 >= 0.5 THEN 'vote-ambiguous' ELSE 'upright' END AS verdict FROM events")
+@query("flg_infer_angle", """WITH r AS (SELECT event_id, a.auto, event_id % 11 <> 3 AND event_id % 9 >= 5 AS known, value % 1 AS share, event_id % 10 >= 4 AS sure, event_id % 7 >= 5 AS up FROM events, (VALUES (TRUE), (FALSE)) AS a(auto)),
+k AS (SELECT *, CASE WHEN known AND share >= 0.6 AND sure THEN 1 WHEN up THEN 2 WHEN known AND share >= 0.5 THEN 3 ELSE 4 END AS k FROM r)
+SELECT event_id, auto, CASE WHEN k = 4 THEN 'upright' WHEN NOT auto THEN 'off' WHEN k = 1 THEN 'votes-180' WHEN k = 2 THEN 'probe-needed' ELSE 'vote-ambiguous' END AS source, CASE WHEN k = 1 AND auto THEN 180 ELSE 0 END AS angle, CASE k WHEN 1 THEN 180 WHEN 2 THEN 90 WHEN 3 THEN 180 END AS raw FROM k""")
 def angle(spark, sf):
-    v = FL.infer_angle(F.col("value") % 1, (F.col("event_id") % 10) / 10, F.when(F.col("event_id") % 7 >= 5, 0.7).otherwise(0.1))
-    return D.table(spark, sf, "events").select("event_id", v.alias("verdict"))
+    c = F.col("event_id")
+    share, up = F.when(c % 11 != 3, F.col("value") % 1), F.when(c % 7 >= 5, 0.7).otherwise(0.1)
+    every = [D.table(spark, sf, "events").select("event_id", F.lit(auto).alias("auto"), FL.infer_angle(share, c % 10 / 10, up, c % 9, auto).alias("v")) for auto in (True, False)]
+    return every[0].unionByName(every[1]).select("event_id", "auto", "v.*")
 
 
-UPS = [("a.pdf", "%PDF-1"), ("b.exe", "MZ"), ("c.png", ""), ("d.pdf", "nope"), ("e.bmp", "x")]
+UPS = [("a.pdf", "%PDF-1"), ("b.exe", "MZ"), ("c.png", ""), ("d.pdf", "nope"), ("e.bmp", "x"), ("f.webp", "RIFF")]
 
 
-@query("flg_upload_error", f"SELECT name, CASE WHEN NOT regexp_matches(name, '\\.(pdf|png|jpg|jpeg|tif|tiff|webp|bmp)$') THEN 'extension' WHEN strlen(content) = 0 THEN 'empty' WHEN name LIKE '%.pdf' AND NOT starts_with(content, '%PDF') THEN 'magic' END AS error FROM {D.values(UPS, 'name, content')}")
+@query("flg_upload_error", f"SELECT name, CASE WHEN NOT regexp_matches(name, '\\.(pdf|png|jpg|jpeg|tif|tiff|webp|bmp)$') THEN 'extension' WHEN strlen(content) = 0 THEN 'empty' WHEN name LIKE '%.pdf' AND NOT starts_with(content, '%PDF') THEN 'magic' WHEN name LIKE '%.bmp' THEN 'decode' END AS error FROM {D.values(UPS, 'name, content')}")
 def uploads(spark, sf):
     return D.literals(spark, UPS, "name string, content string").select("name", E.upload_error(F.col("name"), F.col("content").cast("binary")).alias("error"))
 
@@ -93,7 +97,10 @@ def chips(spark, sf):
     return E.confusion_chips(queue, values).select("doc_id", "pos", "text", F.array_join("chips", "|").alias("chips"))
 
 
-@query("agg_error_taxonomy_rollup", f"""WITH {D.TOK}, e AS (SELECT lang, source, CASE WHEN {HD} THEN 'digit' WHEN list_sort(string_split(text, '')) = list_sort(string_split(h, '')) THEN 'order'
+RUN = "[0-9](?:[0-9.,:/-]*[0-9])?"
+
+
+@query("agg_error_taxonomy_rollup", f"""WITH {D.TOK}, e AS (SELECT lang, source, CASE WHEN coalesce(array_to_string(regexp_extract_all(text, '{RUN}'), ' '), '') <> coalesce(array_to_string(regexp_extract_all(h, '{RUN}'), ' '), '') THEN 'digit' WHEN list_sort(string_split(text, '')) = list_sort(string_split(h, '')) THEN 'order'
   WHEN len(list_intersect(string_split(text, ''), string_split(h, ''))) = 0 THEN 'unrelated' ELSE 'other' END AS kind FROM (SELECT *, translate(text, 'aeot130', 'eoat310') AS h FROM tok) WHERE text <> h)
 SELECT lang, source, kind, count(*) AS n FROM e GROUP BY ROLLUP (lang, source, kind) HAVING kind IS NOT NULL OR lang IS NULL""")
 def taxonomy(spark, sf):

@@ -1,6 +1,7 @@
 """Queries of reading order, line grouping and box matching."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirefold.operators import layout as L
@@ -26,9 +27,18 @@ def reading_order(spark, sf):
     return L.reading_order(D.tok(spark, sf)).withColumn("moved", F.col("pos") != F.col("read_pos")).groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("moved"), 1)).alias("moved"))
 
 
-@query("ord_row_major", f"WITH {D.TOK} SELECT doc_id, pos, pos AS read_pos FROM tok")
+#: tokens dealt into another order than they stand in on the page
+DEALT = "dealt AS (SELECT * REPLACE (row_number() OVER (PARTITION BY doc_id ORDER BY pos % 3, pos % 7, pos) - 1 AS pos), pos AS place FROM tok)"
+
+
+def dealt(spark, sf):
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("place") % 3, F.col("place") % 7, "place"))
+    return D.tok(spark, sf).withColumn("place", F.col("pos")).withColumn("pos", (order - 1).cast("long"))
+
+
+@query("ord_row_major", f"WITH {D.TOK}, {DEALT} SELECT doc_id, pos, place AS read_pos FROM dealt")
 def row_major(spark, sf):
-    return L.row_major(D.tok(spark, sf))
+    return L.row_major(dealt(spark, sf))
 
 
 @query("ord_gutters")
@@ -47,7 +57,7 @@ def boxes(spark, sf, p, shift):
 
 
 @query("join_iou_pairs", f"""WITH {D.TOK}, p AS (SELECT a.doc_id AS page, a.pos AS ai, b.pos AS bi, greatest(0, least(a.x1, b.x1 + 3) - greatest(a.x0, b.x0 + 3)) * greatest(0, least(a.y1, b.y1 + 3) - greatest(a.y0, b.y0 + 3)) AS i,
- (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos // 10 BETWEEN a.pos // 10 - 1 AND a.pos // 10 + 1)
+ (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ba FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.y0 = a.y0)
 SELECT page, ai, bi, i::DOUBLE / (aa + ba - i) AS iou FROM p WHERE i > 0 AND i::DOUBLE / (aa + ba - i) >= 0.5""")
 def iou_pairs(spark, sf):
     return L.iou_pairs(boxes(spark, sf, "a", 0), boxes(spark, sf, "b", 3))

@@ -90,8 +90,8 @@ def islands(spark, sf):
 LOG = f"""WITH {D.TOK}, {CORR}, log AS (SELECT doc_id * 100000 + seq AS seq, doc_id % 10 AS session, lower(original) AS key, original, corrected, CASE WHEN seq % 7 = 1 THEN 'word_accept' WHEN seq % 7 IN (2, 3) THEN 'word_reject' ELSE 'word' END AS kind FROM corr)"""
 
 
-def log(spark, sf, every=False):
-    rows = corrections(spark, sf, every)
+def log(spark, sf):
+    rows = corrections(spark, sf)
     kind = F.when(F.col("seq") % 7 == 1, "word_accept").when((F.col("seq") % 7).isin(2, 3), "word_reject").otherwise("word")
     return rows.select((F.col("doc_id") * 100000 + F.col("seq")).alias("seq"), (F.col("doc_id") % 10).alias("session"), F.lower("original").alias("key"), "original", "corrected", kind.alias("kind"))
 
@@ -115,7 +115,7 @@ def memory_stats(spark, sf):
 
 @query("join_word_memory")
 def word_memory(spark, sf):
-    index = MEM.fold(log(spark, sf, every=True), ["key"], "word", "corrected").withColumnRenamed("key", "word")
+    index = MEM.fold(log(spark, sf), ["key"], "word", "corrected").withColumnRenamed("key", "word")
     words = D.table(spark, sf, "benchmark").select(F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("p", "word")).select(F.xxhash64("word").alias("id"), "word").distinct()
     lexicon = D.table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return MEM.suggest_words(words, index, lexicon).select("word", "suggestion", "count")
@@ -134,14 +134,14 @@ def token_id():
 @query("join_value_memory")
 def value_memory(spark, sf):
     digits = lambda c: T.memory_digits(F.col(c))
-    learned = log(spark, sf, every=True).withColumns({"value": digits("original"), "corrected": digits("corrected")}).where(F.length("value") >= MEM.VALUE_DIGITS)
+    learned = log(spark, sf).withColumns({"value": digits("original"), "corrected": digits("corrected")}).where(F.length("value") >= MEM.VALUE_DIGITS)
     index = MEM.fold(learned, ["value"], "word", "corrected").withColumnRenamed("text", "corrected")
     return MEM.suggest_values(D.tok(spark, sf).select(token_id().alias("id"), T.memory_digits(D.second(F.col("text"))).alias("digits")), index)
 
 
 @query("join_line_memory")
 def line_memory(spark, sf):
-    learned = log(spark, sf, every=True).withColumns({"key": F.floor(F.col("seq") / 100000), "digits": T.memory_digits(F.col("original"))})
+    learned = log(spark, sf).withColumns({"key": F.floor(F.col("seq") / 100000), "digits": T.memory_digits(F.col("original"))})
     index = MEM.fold(learned, ["key", "digits"], "word", "corrected")
     return MEM.suggest_lines(D.tok(spark, sf).select(token_id().alias("id"), F.col("doc_id").alias("key"), D.second(F.col("text")).alias("text")), index)
 
@@ -151,9 +151,9 @@ def sample(spark, sf):
     return S.sample(D.table(spark, sf, "documents").select("doc_id", "lang"), 50, "doc_id", 7)
 
 
-@query("smp_split")
+@query("smp_split", "SELECT part, n FROM (SELECT greatest(1, floor(count(*) * 0.05::DOUBLE))::BIGINT AS v, count(*) AS c FROM documents), LATERAL (VALUES ('val', v), ('train', c - v)) AS p(part, n)")
 def split(spark, sf):
-    return S.split(D.table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return S.split(D.table(spark, sf, "documents").select("doc_id"), "doc_id").groupBy("part").agg(F.countDistinct("doc_id").alias("n"))
 
 
 @query("win_capped", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 4 ORDER BY source, doc_id LIMIT 60")

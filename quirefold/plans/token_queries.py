@@ -28,9 +28,6 @@ def query(name: str, sql: str | None = None):
 
 NT = f"lower(trim(text, '{PUNCT}'))"
 #: tokens read by the second stream, with the truth of their page
-READ = D.FLAGGED + f""", truth AS (SELECT DISTINCT doc_id, {NT} AS t FROM tok),
-read AS (SELECT f.* REPLACE (translate(text, 'aeot130', 'eoat310') AS text) FROM flagged f),
-marked AS (SELECT r.*, lower(trim(r.text, '{PUNCT}')) AS t, (r.doc_id, lower(trim(r.text, '{PUNCT}'))) IN (SELECT (doc_id, t) FROM truth) AS ok FROM read r)"""
 READ = D.FLAGGED + f""", truth AS (SELECT DISTINCT doc_id, {NT} AS t, TRUE AS hit FROM tok),
 read AS (SELECT f.* REPLACE (translate(text, 'aeot130', 'eoat310') AS text) FROM flagged f),
 named AS (SELECT r.*, lower(trim(r.text, '{PUNCT}')) AS t FROM read r),
@@ -45,9 +42,12 @@ def truth(spark, sf):
     return D.tok(spark, sf).select("doc_id", T.norm_token(F.col("text")).alias("t")).distinct()
 
 
+def read(spark, sf):
+    return tok(spark, sf).withColumn("text", D.second(F.col("text")))
+
+
 def marked(spark, sf):
-    read = tok(spark, sf).withColumn("text", D.second(F.col("text")))
-    return M.marked(read, truth(spark, sf))
+    return M.marked(read(spark, sf), truth(spark, sf))
 
 
 @query("flg_flag_tokens", f"WITH {D.FLAGGED} SELECT doc_id, pos, array_to_string(flags, '|') AS flags, risk FROM flagged WHERE len(flags) > 0")
@@ -81,7 +81,22 @@ COUNTS = """count(*) AS total, count(*) FILTER (d) AS digit_total, count(*) FILT
     "CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE errors::DOUBLE / total END AS token_error_rate FROM c",
 )
 def token_stats(spark, sf):
-    return M.token_stats(marked(spark, sf), ["lang"])
+    classes = {"d": T.has_digit(F.col("text")), "f": F.size("flags") > 0}
+    return M.token_stats(M.classed(read(spark, sf), truth(spark, sf), ["lang"], classes), ["lang"])
+
+
+LINE_READ = f"""{D.LINES}, parts AS (SELECT lang, doc_id, ln, length(text) % 3 = 0 AS f, {sql_tokens("translate(text, 'aeot130', 'eoat310')")} AS l FROM lines),
+truth AS (SELECT DISTINCT doc_id, unnest(list_transform({sql_tokens('text')}, lambda t: lower(trim(t, '{PUNCT}')))) AS t, TRUE AS hit FROM documents),
+w AS (SELECT lang, doc_id, ln, f, unnest(CASE WHEN len(l) = 0 THEN [''] ELSE l END) AS w FROM parts),
+m AS (SELECT lang, w.doc_id, ln, f, bool_or(regexp_matches(w, '[0-9]')) AS d, bool_and(coalesce(hit, FALSE)) AS ok, count(*) AS n FROM w LEFT JOIN truth ON truth.doc_id = w.doc_id AND truth.t = lower(trim(w, '{PUNCT}')) GROUP BY ALL)"""
+
+
+@query("agg_token_stats_lines", f"WITH {LINE_READ} SELECT lang, CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (NOT ok) AS BIGINT) AS errors, CAST(sum(n) FILTER (f) AS BIGINT) AS flagged, CAST(sum(n) FILTER (d) AS BIGINT) AS digit_total, CAST(sum(n) FILTER (d AND f AND NOT ok) AS BIGINT) AS digit_flagged_errors FROM m GROUP BY lang")
+def token_stats_lines(spark, sf):
+    """Lines as tokens: all words of a line are right, or none."""
+    rows = D.lines(spark, sf).select("lang", "doc_id", F.col("ln").alias("pos"), T.normalize(D.second(F.col("text"))).alias("text"), F.lit("line").alias("granularity"), F.when(F.length("text") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+    stats = M.token_stats(M.line_words(rows, M.truth_tokens(D.table(spark, sf, "documents"), "doc_id", "text"), ["lang"]), ["lang"])
+    return stats.select("lang", "total", "errors", "flagged", "digit_total", "digit_flagged_errors")
 
 
 STATS = f"""WITH {READ}, q AS (SELECT *, CASE WHEN len(flags) > 0 THEN row_number() OVER (PARTITION BY doc_id, len(flags) > 0 ORDER BY risk DESC, y0, x0, pos) END AS rn FROM marked),
@@ -139,7 +154,7 @@ def hallucination(spark, sf):
 
 @query("agg_ece_tokens", f"WITH {READ}, b AS (SELECT lang, least(floor(conf / 100 * 10), 9) AS b, count(*) AS n, avg(conf / 100) AS c, avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0 END) AS a FROM (SELECT * REPLACE (least(100.0::DOUBLE, conf) AS conf) FROM marked) GROUP BY ALL) SELECT lang, sum(n * abs(c - a)) / sum(n) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY lang")
 def ece_tokens(spark, sf):
-    return M.ece_tokens(marked(spark, sf), ["lang"])
+    return M.ece_tokens(read(spark, sf), truth(spark, sf), ["lang"])
 
 
 LAB = "WITH r AS (SELECT source, least(1.0::DOUBLE, n_chars / 5000.0::DOUBLE) AS p, CAST(quality AS BIGINT) AS label FROM documents JOIN labels USING (doc_id))"
@@ -172,19 +187,10 @@ def fit_isotonic(spark, sf):
     return fitted.select("lang", F.to_json("xs").alias("xs"), F.to_json("ys").alias("ys"))
 
 
-GRID = [-4.0, -2.0, -1.0, -0.5, 0.5, 1.0, 2.0, 4.0, 8.0]
-
-
-@query("agg_fit_temperature", LAB + f""", g AS (SELECT label, greatest(1e-6, least(1 - 1e-6, p)) AS p, t FROM r, (SELECT unnest({GRID}::DOUBLE[]) AS t)),
-q AS (SELECT t, label, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-ln(p / (1 - p)) / t)))) AS q FROM g), l AS (SELECT t, round(avg(-(label * ln(q) + (1 - label) * ln(1 - q))), 6) AS nll FROM q GROUP BY t)
-SELECT 'all' AS g, arg_min(t, (nll, t)) AS temperature, min(nll) AS nll FROM l""")
+@query("agg_fit_temperature", LAB + f""", g AS (SELECT label, n, greatest(1e-6, least(1 - 1e-6, p)) AS p, t FROM (SELECT p, label, count(*) AS n FROM r GROUP BY ALL), (SELECT unnest({M.TEMPERATURES}::DOUBLE[]) AS t)),
+q AS (SELECT t, label, n, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-ln(p / (1 - p)) / t)))) AS q FROM g), l AS (SELECT t, round(sum(-(label * ln(q) + (1 - label) * ln(1 - q)) * n) / sum(n), 12) AS nll FROM q GROUP BY t)
+SELECT 'all' AS g, arg_min(t, (nll, t)) AS temperature, round(min(nll), 6) AS nll FROM l""")
 def fit_temperature(spark, sf):
-    return M.fit_temperature(scored(spark, sf).withColumn("g", F.lit("all")), ["g"], GRID).withColumn("nll", F.round("nll", 6))
-
-
-@query("agg_fit_temperature_whole_grid")
-def fit_temperature_whole_grid(spark, sf):
-    """Over the operator's own grid; agg_fit_temperature has the nine values of its SQL."""
     return M.fit_temperature(scored(spark, sf).withColumn("g", F.lit("all")), ["g"]).withColumn("nll", F.round("nll", 6))
 
 
@@ -229,13 +235,11 @@ def nearest_digit(spark, sf):
 
 #: corrections of the second stream: every token that it reads otherwise, every third with its index off by one
 CORR = """corr AS (SELECT doc_id, pos AS seq, CASE WHEN pos % 3 = 0 THEN pos + 1 ELSE pos END AS index, translate(text, 'aeot130', 'eoat310') AS original, text AS corrected,
-  CASE WHEN pos % 5 = 0 THEN 'confirmed' ELSE 'changed' END AS action, x0, y0, x1, y1 FROM tok WHERE text <> translate(text, 'aeot130', 'eoat310') AND conf < 20)"""
+  CASE WHEN pos % 5 = 0 THEN 'confirmed' ELSE 'changed' END AS action, x0, y0, x1, y1 FROM tok WHERE text <> translate(text, 'aeot130', 'eoat310'))"""
 
 
-def corrections(spark, sf, every=False):
-    """The rows of CORR, which has only tokens with conf below 20; with every, those of all tokens."""
+def corrections(spark, sf):
     rows = D.tok(spark, sf).withColumn("original", D.second(F.col("text"))).where(F.col("original") != F.col("text"))
-    rows = rows if every else rows.where("conf < 20")
     return rows.select("doc_id", F.col("pos").alias("seq"), F.when(F.col("pos") % 3 == 0, F.col("pos") + 1).otherwise(F.col("pos")).alias("index"), "original", F.col("text").alias("corrected"), F.when(F.col("pos") % 5 == 0, "confirmed").otherwise("changed").alias("action"), "x0", "y0", "x1", "y1")
 
 
@@ -292,9 +296,42 @@ def flags_summary(spark, sf):
     return tok(spark, sf).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-@query("flg_colour", f"WITH {D.FLAGGED} SELECT CASE WHEN len(flags) = 0 THEN 'green' ELSE 'amber' END AS colour, count(*) AS n FROM flagged GROUP BY ALL")
+#: every flag that there is, and one that no palette has
+EVERY = [*FL.RISK_WEIGHTS, "odd"]
+TWO = f"(SELECT doc_id, pos, list_filter([({EVERY})[1 + (doc_id + pos) % 13], ({EVERY})[1 + (doc_id * 3 + pos * 5) % 12]], lambda f: f IS NOT NULL) AS flags FROM tok)"
+
+
+def two_flags(spark, sf):
+    """Tokens with two flags of all that there are; one place of thirteen has none."""
+    names = F.array(*map(F.lit, EVERY))
+    at = lambda k, n: F.get(names, (k % n).cast("int"))
+    flags = F.array_compact(F.array(at(F.col("doc_id") + F.col("pos"), 13), at(F.col("doc_id") * 3 + F.col("pos") * 5, 12)))
+    return D.tok(spark, sf).withColumn("flags", flags)
+
+
+@query("flg_colour", f"WITH {D.TOK}, f AS {TWO} SELECT CASE WHEN list_contains(flags, 'digit_conflict') THEN 'red' WHEN list_has_any(flags, ['low_conf', 'digit_uncertain', 'unknown_word', 'multi_read_conflict', 'context_conflict']) THEN 'amber' ELSE 'green' END AS colour, array_to_string(flags, '|') AS flags, count(*) AS n FROM f GROUP BY ALL")
 def colour(spark, sf):
-    return tok(spark, sf).groupBy(FL.colour(F.col("flags")).alias("colour")).agg(F.count("*").alias("n"))
+    return two_flags(spark, sf).groupBy(FL.colour(F.col("flags")).alias("colour"), F.array_join("flags", "|").alias("flags")).agg(F.count("*").alias("n"))
+
+
+@query("txt_row_tone", f"WITH {D.TOK}, f AS {TWO} SELECT doc_id, pos, CASE WHEN list_contains(flags, 'digit_conflict') THEN 'red' WHEN list_has_any(flags, ['low_conf', 'digit_uncertain', 'unknown_word']) THEN 'amber' ELSE 'neutral' END AS tone, CASE WHEN (pos % 13) / 2.0 >= 5 THEN 'high' WHEN (pos % 13) / 2.0 > 1 THEN 'mid' ELSE 'low' END AS risk FROM f")
+def row_tone(spark, sf):
+    return two_flags(spark, sf).select("doc_id", "pos", T.row_tone(F.col("flags")).alias("tone"), T.risk_tone(F.col("pos") % 13 / 2).alias("risk"))
+
+
+XY = [0.1, 0.4, 0.7, 0.9], [0.05, 0.3, 0.6]
+
+
+@query("flg_flag_page", f"""WITH {D.TOK}, lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word, TRUE AS hit FROM benchmark),
+e AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM tok WHERE NOT regexp_matches(text, '[0-9]')),
+u AS (SELECT doc_id, pos, bool_and(hit IS NULL) AS unknown FROM e LEFT JOIN lex USING (word) GROUP BY ALL)
+SELECT doc_id, pos, array_to_string(list_filter([CASE WHEN conf < 60 THEN 'low_conf' END, CASE WHEN regexp_matches(text, '[0-9]') AND conf < 90 THEN 'digit_uncertain' END, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'script_mismatch' END, CASE WHEN unknown THEN 'unknown_word' END], lambda f: f IS NOT NULL), '|') AS flags,
+  CASE WHEN conf / 100 >= 0.7 THEN 60.0::DOUBLE WHEN conf / 100 >= 0.4 THEN 30 ELSE 5 END AS cal_conf FROM tok LEFT JOIN u USING (doc_id, pos)""")
+def flag_page(spark, sf):
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
+    lexicon = D.table(spark, sf, "benchmark").select(F.explode(words(F.col("text"))).alias("word"))
+    rows = FL.flag_page(D.tok(spark, sf), devanagari=True, calibration=XY, lexicon=lexicon, words=words(F.col("text")))
+    return rows.select("doc_id", "pos", F.array_join("flags", "|").alias("flags"), "cal_conf")
 
 
 @query("flg_harvest_gate", "WITH s AS (SELECT source, avg(length(text)) AS c, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g')))::DOUBLE / sum(length(regexp_replace(text, '[^\\p{L}]', '', 'g'))) AS l, avg(CASE WHEN contains(text, chr(65533)) THEN 1.0::DOUBLE ELSE 0 END) AS d FROM documents GROUP BY source) SELECT source, CASE WHEN c < 300 THEN 'too_little_text' WHEN l < 0.4 THEN 'not_the_script' WHEN d > 0.02 THEN 'damaged_text' END AS reason FROM s")

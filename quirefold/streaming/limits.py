@@ -69,20 +69,20 @@ def daily_quota(events: DataFrame, limit: int) -> DataFrame:
 
 
 class RateLimitProcessor(StatefulProcessor):
-    """The sliding window as a stream: state is the accepted times of a key."""
+    """The sliding window as a stream: state is the accepted times of a key; expiring, it is dropped when nothing came for
+    two windows."""
 
-    def __init__(self, window: float, most: int):
-        self.window, self.most = window, most
+    def __init__(self, window: float, most: int, expiring: bool = False):
+        self.window, self.most, self.expiring = window, most, expiring
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType().add("t", DoubleType()))
+        self.times = handle.getListState("times", StructType().add("t", DoubleType()), ttlDurationMs=int(2000 * self.window) if self.expiring else None)
 
     def handleInputRows(self, key, rows, timerValues):
         limiter = SlidingWindow(self.window, self.most, (x[0] for x in self.times.get()) if self.times.exists() else ())
-        for pdf in rows:
-            pdf = pdf.sort_values(["t", "event_id"])
-            out = [limiter.check(t) for t in pdf.t]
-            yield pdf[["key", "event_id", "t"]].assign(allowed=[a for a, _ in out], retry=[r for _, r in out])
+        pdf = pd.concat(rows).sort_values(["t", "event_id"])  # a key's rows may come in several pieces
+        out = [limiter.check(t) for t in pdf.t]
+        yield pdf[["key", "event_id", "t"]].assign(allowed=[a for a, _ in out], retry=[r for _, r in out])
         if limiter.held:
             self.times.put([(t,) for t in limiter.held])
 
@@ -91,26 +91,26 @@ class RateLimitProcessor(StatefulProcessor):
 
 
 class QuotaProcessor(StatefulProcessor):
-    """The daily quota as a stream: state is a key's day and what it has used."""
+    """The daily quota as a stream: state is a key's day and what it has used; expiring, it is dropped when nothing came for
+    two days."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, expiring: bool = False):
+        self.limit, self.expiring = limit, expiring
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", StructType().add("day", LongType()).add("used", LongType()))
+        self.used = handle.getValueState("used", StructType().add("day", LongType()).add("used", LongType()), ttlDurationMs=2 * 86_400_000 if self.expiring else None)
 
     def handleInputRows(self, key, rows, timerValues):
         day, used = self.used.get() if self.used.exists() else (-1, 0)
-        for pdf in rows:
-            pdf = pdf.sort_values(["t", "event_id"])
-            out = []
-            for t, n in zip(pdf.t, pdf.n):
-                if t // 86400 != day:
-                    day, used = int(t // 86400), 0
-                ok = self.limit == 0 or used + max(1, n) <= self.limit
-                used += int(max(1, n)) if ok and self.limit else 0
-                out.append((ok, 0 if ok else max((day + 1) * 86400 - int(t), 1)))
-            yield pdf[["key", "event_id", "t"]].assign(allowed=[a for a, _ in out], retry=[r for _, r in out])
+        pdf = pd.concat(rows).sort_values(["t", "event_id"])
+        out = []
+        for t, n in zip(pdf.t, pdf.n):
+            if t // 86400 != day:
+                day, used = int(t // 86400), 0
+            ok = self.limit == 0 or used + max(1, n) <= self.limit
+            used += int(max(1, n)) if ok and self.limit else 0
+            out.append((ok, 0 if ok else max((day + 1) * 86400 - int(t), 1)))
+        yield pdf[["key", "event_id", "t"]].assign(allowed=[a for a, _ in out], retry=[r for _, r in out])
         self.used.update((day, used))
 
     def close(self) -> None:
@@ -118,8 +118,9 @@ class QuotaProcessor(StatefulProcessor):
 
 
 def stream_decisions(events: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    """A stream of decisions over a stream of events; needs the RocksDB state store."""
-    return events.groupBy("key").transformWithStateInPandas(processor, DECISION, "Append", "None")
+    """A stream of decisions over a stream of events; needs the RocksDB state store. An expiring processor bounds the keys
+    that are held by the time on the clock, so its stream goes on until it is stopped."""
+    return events.groupBy("key").transformWithStateInPandas(processor, DECISION, "Append", "ProcessingTime" if processor.expiring else "None")
 
 
 def client_key(peer, forwarded):
