@@ -123,11 +123,11 @@ def contracted(edges: DataFrame, most: int = 2_000_000) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, hub_edges: int = 1000) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, hub_edges: int = 1000, task_edges: int = 50_000) -> DataFrame:
     """Connected components of edges(a, b): one row (id, component) for each id that an edge names.
 
-    Each task contracts its own edges; then large-star and small-star steps alternate until nothing changes, each round's
-    edges being a table in the shared folder. A step's minimum per id is a grouped aggregate, which Spark combines before
+    Tasks of about task_edges edges contract their own, which is all if there is one of them; then large-star and
+    small-star steps alternate until nothing changes, each round's edges being a table in the shared folder. A step's minimum per id is a grouped aggregate, which Spark combines before
     the shuffle, and reaches the id's edges by a join; the minima of hubs, ids of many edges, are broadcast instead (at
     most 200,000 of them: the bound on edges rises with their number), so no task gathers a hub's edges. component is
     the smallest id.
@@ -153,11 +153,17 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, hub_edge
     def sign(links: DataFrame):
         return links.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))").alias("h")).first()
 
-    now = scratch.save(contracted(edges.where("a <> b")).distinct(), "edges")
-    seen = sign(now)
-    while True:
+    def dealt(links: DataFrame) -> DataFrame:
+        return contracted(links.coalesce(max(1, -(-size // task_edges))))
+
+    plain = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    size = plain.count()
+    now = scratch.save(dealt(plain), "edges")
+    scratch.drop(plain)
+    seen = sign(now) if size > task_edges else None
+    while seen is not None:
         size = seen["n"]
-        now, before = scratch.save(contracted(stars(stars(now, True), False)).distinct(), "edges"), now
+        now, before = scratch.save(dealt(stars(stars(now, True), False).distinct()), "edges"), now
         found = sign(now)
         scratch.drop(before)
         if found == seen:

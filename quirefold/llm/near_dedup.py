@@ -270,7 +270,7 @@ def small_bucket_pairs(member: DataFrame, buckets: DataFrame, nodes: DataFrame,
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, chunks: int, scratch: Scratch, rows: int = 4096, set_bytes: int = 16_000_000) -> DataFrame:
+def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, chunks: int, scratch: Scratch, rows: int = 1024, set_bytes: int = 16_000_000) -> DataFrame:
     """Links (a, b) that join components within large buckets, found on full sets without emitting pairs.
 
     Documents that large buckets have in common are a cluster. A cluster is cut into blocks of at most so many rows and
@@ -321,7 +321,7 @@ def large_bucket_links(spark: SparkSession, member: DataFrame, buckets: DataFram
     return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "id").mapInArrow(run, "a long, b long")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, large: int = LARGE, block_rows: int = 4096) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, large: int = LARGE, block_rows: int = 1024) -> DataFrame:
     """Groups documents whose sets of word shingles have 100 |A and B| >= percent |A or B|, chains included.
 
     Words are [^ \\t-\\r]+ of the text with A-Z lower-cased; a set has the distinct runs of so many words, or the whole

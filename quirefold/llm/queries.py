@@ -4,12 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.plans import derived
+
 from . import bpe, embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, near_dedup, toxicity, url_filter, warc
 from .common import LOWER, UPPER
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_table = derived.table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,12 +206,13 @@ def test_near_large_buckets_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(sets, linked)
 
 
-def test_components_of_hubs_and_chains(spark):
+@pytest.mark.parametrize("task_edges", [60, 50_000])
+def test_components_of_hubs_and_chains(spark, task_edges):
     rng = random.Random(2)
     edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(400)] + [(5000 - i, 4999 - i) for i in range(200)]
     edges += [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(260)] + [(299, 1400)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
-    got = {r.id: r.component for r in components(spark, df, Scratch(spark, "t"), hub_edges=20).collect()}
+    got = {r.id: r.component for r in components(spark, df, Scratch(spark, "t"), hub_edges=20, task_edges=task_edges).collect()}
     edges = [e for e in edges if e[0] != e[1]]
     assert got == brute_components({x for e in edges for x in e}, edges)
 
