@@ -68,3 +68,31 @@ def ctc_decode(ids: pd.Series, charset: pd.Series) -> pd.Series:
         return "".join(chars[i - 1] for i in seq[keep])
 
     return pd.Series([one(s, c) for s, c in zip(ids, charset)])
+
+
+def sampled_texts(spark, n: int, words: list[str], patterns: list[str], seed: int = 1, shares: tuple[float, float] = (0.25, 0.45), most: int = 60):
+    """n synthetic training lines (id, text): a share of long ones of words and patterns that have digits, a share of single
+    patterns, the rest runs of two to five words. # in a pattern is a random digit. A line depends on the seed and its id
+    alone, not on how rows are dealt."""
+
+    def one(k: int) -> str:
+        rng = np.random.default_rng([seed, k])
+        pattern = lambda: "".join(str(rng.integers(10)) if c == "#" else c for c in patterns[rng.integers(len(patterns))])
+        run = lambda lo, hi: " ".join(words[i] for i in rng.integers(0, len(words), rng.integers(lo, hi + 1)))
+        draw = rng.random()
+        if draw >= sum(shares):
+            return run(2, 5)
+        if draw >= shares[0]:
+            return pattern()
+        text = pattern()
+        while True:
+            longer = f"{text} {pattern() if rng.random() < 0.5 else run(2, 4)}"
+            if len(longer) > most:
+                return text
+            text = longer
+
+    def run_all(batches):
+        for pdf in batches:
+            yield pdf.assign(text=[one(int(k)) for k in pdf.id])
+
+    return spark.range(n).mapInPandas(run_all, "id long, text string")

@@ -587,3 +587,14 @@ def test_value_pairs_and_chips(spark):
     assert chips == [["1", "2"], ["110", "126"], ["१०४", "२६४"], []]
     near = df.select(T.digit_confusions(F.col("t"), F.array(F.lit("128"))).alias("c")).collect()[1].c
     assert near == ["128", "110"]
+
+
+def test_sampled_texts(spark):
+    from quirefold.functions.udfs import sampled_texts
+
+    words, patterns = ["alpha", "beta", "gamma"], ["no. ##", "##-##-####"]
+    got = {r.id: r.text for r in sampled_texts(spark, 400, words, patterns, seed=4).collect()}
+    assert got == {r.id: r.text for r in sampled_texts(spark, 400, words, patterns, seed=4).repartition(3).collect()}
+    digits = [any(c.isdigit() for c in t) for t in got.values()]
+    assert 0.62 < np.mean(digits) < 0.78 and max(map(len, got.values())) <= 60
+    assert all(set(t.split()) <= set(words) for t, d in zip(got.values(), digits) if not d)
