@@ -73,14 +73,26 @@ def valid_truth(spark, sf):
     return E.valid_truth_stats(pairs, ["doc_id"]).where("gt_valid_tokens + gt_invalid_tokens + hyp_tokens > 0")
 
 
+DIGIT = r"[0-9](?:[0-9.,:/-]*[0-9])?"
+DS = f"coalesce(array_to_string(regexp_extract_all({{}}, '{DIGIT}'), ' '), '')"
+PART = "list_sort(list_distinct(list_filter(string_split({}, ''), lambda c: regexp_matches(c, '[{}]'))))"
+MATRA, CONSONANT = "\\x{093E}-\\x{094D}\\x{0962}\\x{0963}", "\\x{0915}-\\x{0939}"
+
+
+@query("txt_token_error_kind", f"""WITH {D.TOK}, p AS (SELECT doc_id, pos, {D.DEVA.format('text')} AS g, translate({D.DEVA.format(D.THIRD.format('text'))}, 'क', 'ग') AS h FROM tok)
+SELECT doc_id, pos, CASE WHEN {DS.format('g')} <> {DS.format('h')} THEN 'digit' WHEN list_sort(string_split(g, '')) = list_sort(string_split(h, '')) THEN 'order' WHEN len(list_intersect(string_split(g, ''), string_split(h, ''))) = 0 THEN 'unrelated'
+  WHEN {PART.format('g', MATRA)} <> {PART.format('h', MATRA)} THEN 'matra' WHEN {PART.format('g', CONSONANT)} <> {PART.format('h', CONSONANT)} THEN 'consonant' ELSE 'other' END AS kind FROM p WHERE g <> h""")
+def token_error_kind(spark, sf):
+    pairs = D.tok(spark, sf).select("doc_id", "pos", D.deva(F.col("text")).alias("g"), F.translate(D.deva(D.third(F.col("text"))), "क", "ग").alias("h"))
+    return pairs.where("g <> h").select("doc_id", "pos", T.token_error_kind(F.col("g"), F.col("h")).alias("kind"))
+
+
 @query("join_token_diff")
 def token_diff(spark, sf):
     pairs = docs(spark, sf).select("doc_id", F.col("text").alias("gt"), D.third(F.regexp_replace("text", " a ", " ")).alias("hyp"))
     return E.diff_kinds(E.token_diff(pairs, ["doc_id"]), ["doc_id"])
 
 
-DIGIT = r"[0-9](?:[0-9.,:/-]*[0-9])?"
-DS = f"coalesce(array_to_string(regexp_extract_all({{}}, '{DIGIT}'), ' '), '')"
 DERR = f"""{D.FLAGGED}, gd AS (SELECT DISTINCT doc_id, {DS.format('text')} AS ds, TRUE AS hit FROM tok WHERE regexp_matches(text, '[0-9]')),
 rd AS (SELECT f.* REPLACE ({D.SECOND.format('text')} AS text) FROM flagged f), rds AS (SELECT *, CASE WHEN regexp_matches(text, '[0-9]') THEN {DS.format('text')} END AS ds FROM rd),
 de AS (SELECT r.*, coalesce(ds <> '' AND hit IS NULL, FALSE) AS digit_error, CASE WHEN len(flags) > 0 THEN row_number() OVER (PARTITION BY doc_id, len(flags) > 0 ORDER BY risk DESC, y0, x0, pos) END AS rn FROM rds r LEFT JOIN gd USING (doc_id, ds)),

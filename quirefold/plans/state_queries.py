@@ -31,7 +31,10 @@ def events(spark, sf):
     return rows.select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (1 + F.col("event_id") % 4).alias("n"))
 
 
-@query("str_rate_limit")
+@query("str_rate_limit", """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+q AS (SELECT key, k, event_id, t, TRUE AS allowed, t AS held, 0::BIGINT AS retry FROM e WHERE k = 1
+  UNION ALL SELECT e.key, e.k, e.event_id, e.t, e.t - q.held > 3600, CASE WHEN e.t - q.held > 3600 THEN e.t ELSE q.held END, CASE WHEN e.t - q.held > 3600 THEN 0 ELSE greatest(CAST(floor(3600 - (e.t - q.held)) AS BIGINT) + 1, 1) END FROM q JOIN e ON e.key = q.key AND e.k = q.k + 1)
+SELECT key, event_id, allowed, retry FROM q""")
 def rate_limit(spark, sf):
     return L.rate_limit(events(spark, sf), 3600.0, 1).select("key", "event_id", "allowed", "retry")
 

@@ -107,8 +107,13 @@ on_literals("txt_nfc", NFC, "text string", lambda: {"nfc": U.nfc("text"), "label
 on_literals("txt_normalize_word", NFC, "text string", lambda: {"word": U.normalize_word("text")}, {"word": "trim(replace(replace(nfc_normalize(text), chr(8204), ''), chr(8205), ''))"})
 on_literals("txt_runs_with_spans", [("a 12.5 b 7",), ("x",)], "text string", lambda: {"runs": F.to_json(U.runs_with_spans("text"))}, {})
 on_literals("txt_ctc_decode", [("1,1,0,1,2,2", "ab"), ("0", "ab")], "ids string, chars string", lambda: {"text": U.ctc_decode(F.split("ids", ",").cast("array<int>"), F.col("chars"))}, {})
+OWN = "regexp_matches(t, '[\\x{0900}-\\x{097F}]')"
 WORDS = [("हाँ किं",), ("िक देश",), ("क्ा क्ं क््",), ("धारा ः",), ("ो",), ("नेपालको संविधान",), ("a1 ि",), ("",)]
-on_literals("txt_devanagari_validity", WORDS, "text string", lambda: {"tokens": T.devanagari_validity(F.col("text"))["tokens"], "invalid": T.devanagari_validity(F.col("text"))["invalid_tokens"], "rate": T.devanagari_validity(F.col("text"))["invalid_token_rate"]}, {})
+on_literals("txt_devanagari_validity", WORDS, "text string", lambda: {"tokens": T.devanagari_validity(F.col("text"))["tokens"], "invalid": T.devanagari_validity(F.col("text"))["invalid_tokens"], "rate": T.devanagari_validity(F.col("text"))["invalid_token_rate"]}, {
+    "tokens": f"len({sql_tokens('text')})",
+    "invalid": f"len(list_filter({sql_tokens('text')}, lambda t: {OWN} AND {D.invalid_sql('t', PUNCT)}))",
+    "rate": f"round(coalesce(len(list_filter({sql_tokens('text')}, lambda t: {OWN} AND {D.invalid_sql('t', PUNCT)}))::DOUBLE / nullif(len(list_filter({sql_tokens('text')}, lambda t: {OWN})), 0), 0), 4)",
+})
 C, V, M = "\\x{0915}-\\x{0939}", "\\x{093E}-\\x{094C}", "\\x{0901}-\\x{0903}"
 on_literals("txt_deva_word", WORDS, "text string", lambda: {"words": F.array_join(T.deva_words(F.col("text")), "|"), "share": T.devanagari_ratio(F.col("text"))}, {
     "words": "coalesce(array_to_string(list_filter(regexp_extract_all(text, '[\\x{0900}-\\x{0963}\\x{0970}-\\x{097F}]+'), lambda w: length(w) >= 2), '|'), '')",
@@ -122,8 +127,6 @@ on_literals("txt_value_pairs", PAIRS, "a string, b string", lambda: {"pairs": F.
 on_literals("txt_digit_confusions", [("120",), ("9",), ("x",), ("२०४",)], "text string", lambda: {"chips": F.array_join(T.digit_confusions(F.col("text")), "|"), "supported": F.array_join(T.digit_confusions(F.col("text"), F.array(F.lit("128"))), "|")}, {})
 NAMES = [(" NE ",), ("Auto",), ("devanagari",), ("xx",), ("",)]
 on_literals("txt_language_alias", NAMES, "name string", lambda: {"alias": T.language_alias(F.col("name"))}, {"alias": "CASE WHEN lower(trim(name)) IN ('devanagari', 'deva', 'ne', 'nep', 'hi', 'hin') THEN 'devanagari' ELSE 'default' END"})
-KINDS = [("120", "121"), ("abc", "cab"), ("abc", "xyz"), ("कि", "की"), ("काम", "कान"), ("abc", "abd")]
-on_literals("txt_token_error_kind", KINDS, "gt string, hyp string", lambda: {"kind": T.token_error_kind(F.col("gt"), F.col("hyp"))}, {})
 FLAGS = [("b|a|b",), ("low_conf",), ("",)]
 on_literals("txt_flags_key", FLAGS, "flags string", lambda: {"k": T.flags_key(F.filter(F.split("flags", r"\|"), lambda x: x != ""))}, {"k": "coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split(flags, '|'), lambda x: x <> ''))), '|'), '')"})
 LABELS = [("confirmed", "a", "b"), ("changed", "a", "b")]
