@@ -41,7 +41,8 @@ def exact_dedup(
     3. Texts of keys that occur again are aggregated by bucket, key and text: Spark pre-aggregates in each task before
     the shuffle, and equality there is a comparison of bytes. 4. The owner task of each bucket chains the different
     texts of one key and writes the bucket's page. 5. Entries look up their page. capacity: keys in a bucket;
-    key_bits: fewer than 64 force collisions (tests); broadcast_rows: repeated keys up to which they are broadcast.
+    key_bits: fewer than 64 force collisions (tests); broadcast_rows: repeated keys up to which they are broadcast; of more,
+    a bitmap of 16 MB is, so that texts that occur once are hardly ever shuffled.
     """
     scratch = Scratch(spark, "exact")
     key: Column = F.xxhash64("norm") if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64("norm"), 64 - key_bits), 64 - key_bits)
@@ -54,11 +55,13 @@ def exact_dedup(
     again = keys.where("n > 1").withColumn("slot", F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long"))
     again = scratch.save(again.join(F.broadcast(slots) if small(slots, 100_000) else slots, "slot").select("key", "bucket"), "repeated")
 
+    word, bit = F.shiftrightunsigned("key", 43), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 37) & 63 as int))")  # of 2^27 bits: 2^21 rows at most
     if small(again, broadcast_rows):
         met = rows.join(F.broadcast(again), "key").groupBy("bucket", "key", "norm")
         groups = met.agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    else:  # too many to broadcast: one shuffle of the distinct texts of each task, then the buckets by key
-        groups = rows.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).join(again, "key")
+    else:  # too many to broadcast: texts whose key may be among them, as a bitmap tells, are shuffled, then the buckets by key
+        maybe = rows.withColumn("_word", word).join(F.broadcast(again.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+        groups = maybe.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).join(again, "key")
     in_page = groups.select("bucket", "key", F.unhex(digest(F.col("norm"))).alias("digest"), F.octet_length("norm").alias("n_bytes"), "keep_id", "group_size")
     chain = Window.partitionBy("bucket", "key").orderBy("digest", "n_bytes", "keep_id")
     pages = scratch.save(in_page.repartition("bucket").withColumn("chained", F.row_number().over(chain)), "pages")

@@ -87,6 +87,12 @@ def test_url_rules_and_sql(spark):
     assert url_filter.url_filter(df.limit(0)).collect() == []
 
 
+def test_url_rows_that_repeat(spark):
+    rows = [(1, URLS[5])] * 3 + [(None, URLS[0]), (1, URLS[1])]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string").withColumns({"verdict": F.lit("x"), "score": F.lit("y")})).collect()
+    assert sorted((str(r.page_id), r.verdict) for r in got) == [("1", "block")] * 4 + [("None", "allow")]
+
+
 def test_url_model_tells_its_table_apart(spark):
     rows = [(i, u) for i, (u, _) in enumerate(url_filter.LABELLED)]
     got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules=()).collect()
