@@ -117,7 +117,7 @@ def tagged(spark: SparkSession, docs: DataFrame, per_language: int = 300, landma
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [t or "" for t in part.column("_text").to_pylist()]
+                texts = [t or "" for t in part.column(read).to_pylist()]
                 able = [k for k, t in enumerate(texts) if model is not None and LETTER.search(t)]
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)
                 if able:
@@ -126,8 +126,9 @@ def tagged(spark: SparkSession, docs: DataFrame, per_language: int = 300, landma
                 own = [c for c in part.schema.names if c != "_text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(lang), pa.array(score, pa.float64()), pa.array([chance] * len(texts), pa.float64())], [*own, "_lang", "_score", "_chance"])
 
+    read = "text" if dict(docs.dtypes)["text"] == "string" else "_text"
     schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType()), StructField("_chance", DoubleType())])
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return (docs if read == "text" else docs.withColumn(read, F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, per_language: int = 300, landmarks: int = 64) -> DataFrame:
