@@ -109,11 +109,6 @@ def ordered_text(spark, sf):
     return S.ordered_text(D.tok(spark, sf)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("snk_ocr_json")
-def ocr_sink(spark, sf):
-    return S.ocr_json(D.flagged(D.tok(spark, sf))).select("doc_id", F.md5(F.col("json").cast("binary")).alias("digest"))
-
-
 @query("snk_markdown", "SELECT doc_id, md5('## Page ' || doc_id || chr(10) || chr(10) || replace(text, '|', '\\|') || chr(10)) AS digest FROM documents")
 def markdown(spark, sf):
     return S.markdown(D.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -11,13 +11,6 @@ def ordered_text(tokens: DataFrame, page: str = "doc_id", order: str = "pos", te
     return tokens.where(F.col(text) != "").groupBy(page).agg(F.array_join(F.transform(rows, lambda t: t[text]), sep).alias("text"))
 
 
-def ocr_json(tokens: DataFrame, page: str = "doc_id") -> DataFrame:
-    """One JSON object per page: tokens in order with conf to two places; optional fields only where they are set."""
-    extra = [F.col(c).alias(c) for c in ("alt_text", "orig_text", "text_source", "corrected_by") if c in tokens.columns]
-    item = F.struct("pos", F.struct("text", F.round("conf", 2).alias("conf"), F.array("x0", "y0", "x1", "y1").alias("bbox"), F.when(F.size("flags") > 0, F.col("flags")).alias("flags"), *extra).alias("t"))
-    return tokens.groupBy(page).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]).alias("tokens"))).alias("json"))
-
-
 def markdown(pages: DataFrame, page: str = "doc_id") -> DataFrame:
     """A section per page; vertical bars are escaped."""
     return pages.select(page, F.concat(F.lit("## Page "), F.col(page).cast("string"), F.lit("\n\n"), F.replace("text", F.lit("|"), F.lit("\\|")), F.lit("\n")).alias("text"))

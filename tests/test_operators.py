@@ -598,3 +598,43 @@ def test_sampled_texts(spark):
     digits = [any(c.isdigit() for c in t) for t in got.values()]
     assert 0.62 < np.mean(digits) < 0.78 and max(map(len, got.values())) <= 60
     assert all(set(t.split()) <= set(words) for t, d in zip(got.values(), digits) if not d)
+
+
+def test_ctc_and_spans(spark):
+    from quirefold.functions import udfs as U
+
+    df = spark.createDataFrame([([1, 1, 0, 1, 2, 2], "ab"), ([0], "ab"), ([], "ab"), ([2, 1], "ab")], "ids array<int>, chars string")
+    assert [r.t for r in df.select(U.ctc_decode("ids", F.col("chars")).alias("t")).collect()] == ["aab", "", "", "ba"]
+    df = spark.createDataFrame([("a 12.5 b ७",), ("",), (None,)], "t string")
+    assert [[tuple(x) for x in r.s] for r in df.select(U.runs_with_spans("t").alias("s")).collect()] == [[("12.5", 2, 6), ("७", 9, 10)], [], []]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_gutters_against_a_count_per_pixel(spark, seed):
+    rows = page_of(seed, 30)
+    lo, hi = min(r[2] for r in rows), max(max(r[4], r[2] + 1) for r in rows)
+    clear = [sum(r[2] <= x < max(r[4], r[2] + 1) for r in rows) <= max(1, int(0.05 * len(rows))) for x in range(lo, hi)]
+    want, start = [], None
+    for x, c in zip(range(lo, hi + 1), [*clear, False]):
+        if c and start is None:
+            start = x
+        if not c and start is not None:
+            want.append((start, x))
+            start = None
+    got = sorted((r.start, r.end) for r in L.gutters(spark.createDataFrame(rows, BOXES)).collect())
+    assert got == want
+
+
+def test_chips_of_the_riskiest_tokens(spark):
+    from quirefold.operators import evidence as EV
+
+    queue = spark.createDataFrame([(1, k, f"9{k}", k + 1) for k in range(12)] + [(1, 50, "none", 99)], "doc_id long, pos long, text string, rn long")
+    values = spark.createDataFrame([(1, "21")], "doc_id long, value string")
+    got = {r.pos: r.chips for r in EV.confusion_chips(queue, values).collect()}
+    assert sorted(got) == list(range(10)) and got[1][0] == "21" and all(len(c) <= 2 for c in got.values())
+
+
+def test_calibration_fit_pools_bins(spark):
+    binned = spark.createDataFrame([("g", b, b / 10, y, 5) for b, y in enumerate((0.1, 0.4, 0.2, 0.9), 1)], "g string, bin int, x double, y double, n long")
+    (r,) = M.fit_isotonic(binned, ["g"]).collect()
+    assert r.xs == [0.1, 0.2, 0.3, 0.4] and r.ys == pytest.approx([0.1, 0.3, 0.9])
