@@ -54,13 +54,14 @@ def classed(tokens: DataFrame, truth: DataFrame, by: list[str], classes: dict[st
 
 def line_words(tokens: DataFrame, truth: DataFrame, by: list[str], page: str = "doc_id") -> DataFrame:
     """Tokens(pos, text, granularity, flags) as token_stats counts them: (by, d, f, ok, n). A line of several words counts as
-    so many tokens, all of them right if each is in truth(page, t), else all wrong; d: any of them has a digit."""
+    so many tokens, all of them right if each is in truth(page, t), else all wrong; d: any of them has a digit. Tokens of one
+    page and pos are one line, but flagged ones and others two."""
     parts = T.tokens(F.col("text"))
     several = (F.col("granularity") == "line") & (F.size(parts) > 1)
     each = tokens.select(*by, page, "pos", (F.size("flags") > 0).alias("f"), F.explode_outer(F.when(several, parts).otherwise(F.array("text"))).alias("w"))
     each = each.withColumn("t", T.norm_token(F.col("w"))).join(truth.select(page, "t").distinct().withColumn("known", F.lit(True)), [page, "t"], "left")
     keys = list(dict.fromkeys([*by, page]))
-    return each.groupBy(*keys, "pos").agg(F.first("f").alias("f"), F.bool_or(T.has_digit(F.col("w"))).alias("d"), F.bool_and(F.coalesce("known", F.lit(False))).alias("ok"), F.count("*").alias("n"))
+    return each.groupBy(*keys, "pos", "f").agg(F.bool_or(T.has_digit(F.col("w"))).alias("d"), F.bool_and(F.coalesce("known", F.lit(False))).alias("ok"), F.count("*").alias("n"))
 
 
 def token_stats(counts: DataFrame, by: list[str]) -> DataFrame:
