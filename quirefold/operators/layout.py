@@ -5,13 +5,13 @@ page's tokens are bounded by paper. Boxes are arrays (x0, y0, x1, y1); orders ar
 """
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.functions.edits import similarity
+
 #: Limits of columns, bands and tables.
 COVERAGE, GUTTER_WIDTH, GUTTER_HEIGHTS, GUTTER_CENTRE = 0.05, 8.0, 0.3, (0.2, 0.8)
 SIDE_TOKENS, SIDE_WIDTH, WIDE, BAND_HEIGHTS, BAND_PIXELS, DEPTH = 6, 0.3, 0.5, 2.5, 32.0, 16
@@ -259,7 +259,7 @@ def box_report(a: DataFrame, b: DataFrame, matches: DataFrame, page: str = "page
 
 def align_lines(a: list[str], b: list[str], least: float = 0.6) -> list[tuple[int, int, float]]:
     """Pairs (i, j, similarity) of two readings' lines, in order and without crossing, of the largest total similarity."""
-    sim = np.array([[difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for y in b] for x in a]).reshape(len(a), len(b))
+    sim = np.array([[similarity(x, y) for y in b] for x in a]).reshape(len(a), len(b))
     gain = np.where(sim >= least, sim, -np.inf)
     best = np.zeros((len(a) + 1, len(b) + 1))
     for i in range(len(a)):
