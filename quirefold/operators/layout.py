@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +19,67 @@ SIDE_TOKENS, SIDE_WIDTH, WIDE, BAND_HEIGHTS, BAND_PIXELS, DEPTH = 6, 0.3, 0.5, 2
 GRID_WIDTH, GRID_TOKENS, GRID_COLUMNS, GRID_ROWS, GRID_CELLS = 0.2, 12, 4, 4, 4
 COLUMN_HEIGHTS, ROW_HEIGHTS = 2.0, 1.5
 DENSE_COLUMNS, DENSE_ROWS, DENSE_CELLS, DENSE_REGULAR = 3, 4, 3, 0.75
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def per_page(tokens: DataFrame, page: str, columns: list[str], order: list[str], one, schema: str) -> DataFrame:
+    """one(columns of a page's rows in order, as Arrow arrays) for each page; it gives arrays of equal lengths, which become
+    rows of schema after the page. Pages come one after another, many in a batch, so a small page costs no call of Spark,
+    and those dealt already stay where they are."""
+    kind = dict(tokens.dtypes)[page]
+    place = F.row_number().over(Window.partitionBy(page).orderBy(*order))
+    rows = tokens.select(page, *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)), place.alias("_k"))
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def whole(batches):
+        """Batches cut before the first row of a page, but for pages of more than a batch, which are put together."""
+        held = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy() == 1)
+            if len(starts) and (held or starts[-1]):
+                head = [*held, batch.slice(0, starts[-1])]
+                held = []
+                yield pa.Table.from_batches(head).combine_chunks()
+                batch = batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches):
+        for table in whole(batches):
+            if not table.num_rows:
+                continue
+            table = table.to_batches()[0]
+            starts = np.flatnonzero(table.column(table.num_columns - 1).to_numpy() == 1)
+            ends = np.append(starts[1:], table.num_rows)
+            own = [table.column(i + 1) for i in range(len(columns))]
+            if not any(pa.types.is_string(c.type) or c.null_count for c in own):
+                own = [c.to_numpy() for c in own]
+                found = [one(*(c[i:j] for c in own)) for i, j in zip(starts, ends)]
+            else:
+                found = [one(*(c.slice(i, j - i) if isinstance(c, pa.Array) and pa.types.is_string(c.type) else c.slice(i, j - i).to_numpy(zero_copy_only=False) for c in own)) for i, j in zip(starts, ends)]
+            key = table.column(0).take(pa.array(np.repeat(starts, [len(f[0]) for f in found])))
+            parts = [[f[k] for f in found] for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([key, *(pa.array([x for p in part for x in p]) if isinstance(part[0], list) else pa.array(np.concatenate(part)) for part in parts)], [page, *names])
+
+    return rows.mapInArrow(run, f"{page} {kind}, {schema}")
 
 
 class Page:
-    """Boxes of a page with the share of digits in each token."""
+    """Boxes of a page with the share of digits in each token: an array, or a function that gives it if it is asked for."""
 
-    def __init__(self, boxes: np.ndarray, digits: np.ndarray):
+    def __init__(self, boxes: np.ndarray, digits):
         self.x0, self.y0, self.x1, self.y1 = boxes.astype(float).T
         self.cx, self.cy, self.w = (self.x0 + self.x1) / 2, (self.y0 + self.y1) / 2, self.x1 - self.x0
-        self.h, self.digits = np.maximum(1.0, self.y1 - self.y0), digits
+        self.h, self._digits = np.maximum(1.0, self.y1 - self.y0), digits
         self.fired = {"splits": 0, "tables": 0, "dense_tables": 0}
 
+    @property
+    def digits(self) -> np.ndarray:
+        if callable(self._digits):
+            self._digits = self._digits()
+        return self._digits
+
     def height(self, at: np.ndarray) -> float:
         return max(1.0, float(np.median(self.h[at])))
 
@@ -62,43 +113,63 @@ class Page:
     def columns(self, at: np.ndarray) -> np.ndarray:
         """Number of the table column of each token: a new one where a centre is too far from its column's first."""
         order = np.argsort(self.cx[at], kind="stable")
-        out, first, k = np.zeros(len(at), int), -np.inf, -1
-        for place in order:
-            c = self.cx[at[place]]
-            if c - first > COLUMN_HEIGHTS * self.height(at):
+        first, k, limit, found = -np.inf, -1, COLUMN_HEIGHTS * self.height(at), []
+        for c in self.cx[at[order]].tolist():
+            if c - first > limit:
                 first, k = c, k + 1
-            out[place] = k
+            found.append(k)
+        out = np.zeros(len(at), int)
+        out[order] = found
         return out
 
     def bands(self, at: np.ndarray, gap: float, alone: np.ndarray | None = None, by_end: bool = False) -> np.ndarray:
         """Number of the band of each token: a new one after a vertical gap, and around tokens that stand alone."""
         order = np.lexsort((self.y1[at], self.y0[at])) if by_end else np.argsort(self.y0[at], kind="stable")
-        out, k, reach = np.zeros(len(at), int), 0, None
-        for place in order:
-            if alone is not None and alone[place]:
+        k, reach, found = 0, None, []
+        single = [False] * len(at) if alone is None else alone[order].tolist()
+        for y0, y1, apart in zip(self.y0[at[order]].tolist(), self.y1[at[order]].tolist(), single):
+            if apart:
                 k, reach = k + (reach is not None), None
-                out[place] = k
+                found.append(k)
                 k += 1
                 continue
-            if reach is not None and self.y0[at[place]] - reach > gap:
+            if reach is not None and y0 - reach > gap:
                 k, reach = k + 1, None
-            reach = self.y1[at[place]] if reach is None else max(reach, self.y1[at[place]])
-            out[place] = k
+            if reach is None or y1 > reach:
+                reach = y1
+            found.append(k)
+        out = np.zeros(len(at), int)
+        out[order] = found
         return out
 
     def rows(self, at: np.ndarray, tolerance=None) -> np.ndarray:
         """Number of the row of each token: the first row whose middle is within the tolerance (half the larger height)."""
-        out, spans = np.zeros(len(at), int), np.zeros((0, 2))
-        for place in np.argsort(self.cy[at], kind="stable"):
-            t = at[place]
-            limit = 0.5 * (np.maximum(self.h[t], np.maximum(1.0, spans[:, 1] - spans[:, 0])) if tolerance is None else tolerance)
-            near = np.flatnonzero(np.abs(self.cy[t] - spans.mean(axis=1)) <= limit) if len(spans) else []
-            if len(near):
-                k = near[0]
-                spans[k] = min(spans[k, 0], self.y0[t]), max(spans[k, 1], self.y1[t])
-            else:
-                k, spans = len(spans), np.vstack([spans, [self.y0[t], self.y1[t]]])
-            out[place] = k
+        order = np.argsort(self.cy[at], kind="stable")
+        t = at[order]
+        tallest = float(self.h[t].max()) if len(t) else 1.0
+        n, live, found = 0, [], []  # live: rows that a later token, whose middle isn't higher, may still join
+        before, row = None, None
+        for cy, h, y0, y1 in zip(self.cy[t].tolist(), self.h[t].tolist(), self.y0[t].tolist(), self.y1[t].tolist()):
+            if before == (y0, y1) and y1 >= y0:
+                found.append(row)  # the same box again: no row before took it, and its own one has it within
+                continue
+            before, row, gone = (y0, y1), None, False
+            for span in live:
+                off, own = cy - span[3], max(1.0, span[2] - span[1])
+                if abs(off) <= 0.5 * (max(h, own) if tolerance is None else tolerance):
+                    row = span[0]
+                    span[1], span[2] = min(span[1], y0), max(span[2], y1)
+                    span[3] = (span[1] + span[2]) / 2
+                    break
+                gone = gone or off > 0.5 * (max(tallest, own) if tolerance is None else tolerance)
+            if gone:
+                live = [s for s in live if cy - s[3] <= 0.5 * (max(tallest, 1.0, s[2] - s[1]) if tolerance is None else tolerance)]
+            if row is None:
+                row, n = n, n + 1
+                live.append([row, y0, y1, (y0 + y1) / 2])
+            found.append(row)
+        out = np.zeros(len(at), int)
+        out[order] = found
         return out
 
     def table(self, at: np.ndarray) -> np.ndarray | None:
@@ -106,7 +177,7 @@ class Page:
         if len(at) < GRID_TOKENS or self.width(at) <= 0 or np.median(self.w[at]) > GRID_WIDTH * self.width(at):
             return None
         col = self.columns(at)
-        cells = lambda row: np.array([len(np.unique(col[row == r])) for r in np.unique(row)])
+        cells = lambda row: np.unique(np.unique(row * (col.max() + 1) + col) // (col.max() + 1), return_counts=True)[1]
         row = self.bands(at, ROW_HEIGHTS * self.height(at))
         n = cells(row)
         if col.max() + 1 >= GRID_COLUMNS and len(n) >= GRID_ROWS and np.median(n) >= GRID_CELLS:
@@ -153,30 +224,27 @@ class Page:
 
 def reading_order(tokens: DataFrame, page: str = "doc_id") -> DataFrame:
     """tokens with read_pos: their place in human reading order; the given order where no column or table is certain."""
-    kinds = dict(tokens.dtypes)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        solid = pdf.text.map(lambda t: [c for c in t if not c.isspace()])
-        digits = solid.map(lambda cs: sum(c.isdigit() for c in cs) / len(cs) if cs else 0.0).to_numpy(float)
-        order = Page(pdf[["x0", "y0", "x1", "y1"]].to_numpy(), digits).reading_order()
+    def digits(texts: pa.Array) -> np.ndarray:
+        solid = [[c for c in t if not c.isspace()] for t in texts.to_pylist()]
+        return np.array([sum(c.isdigit() for c in cs) / len(cs) if cs else 0.0 for cs in solid], float)
+
+    def one(pos, text, *box):
+        order = Page(np.stack(box, 1), lambda: digits(text)).reading_order()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return pdf[[page, "pos"]].assign(read_pos=place)
+        return pos, place
 
-    return tokens.groupBy(page).applyInPandas(one, f"{page} {kinds[page]}, pos {kinds['pos']}, read_pos long")
+    return per_page(tokens, page, ["pos", "text", *BOX], ["pos"], one, f"pos {dict(tokens.dtypes)['pos']}, read_pos long")
 
 
 def row_major(tokens: DataFrame, page: str = "doc_id") -> DataFrame:
-    kinds = dict(tokens.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        p = Page(pdf[["x0", "y0", "x1", "y1"]].to_numpy(), np.zeros(len(pdf)))
-        order = np.lexsort((p.y0, p.x0, p.rows(np.arange(len(pdf)))))
-        return pdf.loc[order, [page, "pos"]].assign(read_pos=np.arange(len(pdf)))
+    def one(pos, *box):
+        p = Page(np.stack(box, 1), np.zeros(len(pos)))
+        order = np.lexsort((p.y0, p.x0, p.rows(np.arange(len(pos)))))
+        return pos[order], np.arange(len(pos))
 
-    return tokens.groupBy(page).applyInPandas(one, f"{page} {kinds[page]}, pos {kinds['pos']}, read_pos long")
+    return per_page(tokens, page, ["pos", *BOX], ["pos"], one, f"pos {dict(tokens.dtypes)['pos']}, read_pos long")
 
 
 def gutters(tokens: DataFrame, page: str = "doc_id") -> DataFrame:
@@ -196,26 +264,32 @@ def gutters(tokens: DataFrame, page: str = "doc_id") -> DataFrame:
 def merge_lines(tokens: DataFrame, gap: float = 0.75, overlap: float = 0.5, page: str = "doc_id") -> DataFrame:
     """Text lines of token boxes: each token joins the first line that it overlaps vertically and that ends near it.
     (page, line, x0..y1, places)."""
-    kinds = dict(tokens.dtypes)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "pos"])
-        hull, members = np.zeros((0, 4)), []
-        for place, *box in pdf[["pos", "x0", "y0", "x1", "y1"]].itertuples(index=False):
-            x0, y0, x1, y1 = box
-            tall = np.minimum(max(1, y1 - y0), np.maximum(1, hull[:, 3] - hull[:, 1]))
-            meets = (np.minimum(hull[:, 3], y1) - np.maximum(hull[:, 1], y0) >= overlap * tall) & (np.maximum(0, x0 - hull[:, 2]) <= gap * tall)
-            k = int(meets.argmax()) if meets.any() else len(members)
-            if k == len(members):
-                hull, members = np.vstack([hull, box]), [*members, []]
-            hull[k] = min(hull[k, 0], x0), min(hull[k, 1], y0), max(hull[k, 2], x1), max(hull[k, 3], y1)
-            members[k].append(int(place))
-        order = np.lexsort((hull[:, 0], hull[:, 1]))
-        out = pd.DataFrame(hull[order].astype(int), columns=["x0", "y0", "x1", "y1"]).assign(line=np.arange(len(order)), places=[members[k] for k in order])
-        out[page] = pdf[page].iloc[0]
-        return out[[page, "line", "x0", "y0", "x1", "y1", "places"]]
-
-    return tokens.groupBy(page).applyInPandas(one, f"{page} {kinds[page]}, line long, x0 int, y0 int, x1 int, y1 int, places array<long>")
+    def one(pos, *box):
+        lines, live = [], []  # live: lines that end low enough for this token, and so for one that begins further down
+        for place, x0, y0, x1, y1 in zip(pos.tolist(), *(b.tolist() for b in box)):
+            own, found, gone = max(1, y1 - y0), None, False
+            for line in live:
+                if line[3] - y0 < overlap:
+                    gone = True
+                    continue
+                tall = min(own, max(1, line[3] - line[1]))
+                if min(line[3], y1) - y0 >= overlap * tall and max(0, x0 - line[2]) <= gap * tall:
+                    found = line
+                    break
+            if gone:
+                live = [s for s in live if s[3] - y0 >= overlap]
+            if found is None:
+                found = [x0, y0, x1, y1, []]
+                lines.append(found)
+                live.append(found)
+            else:
+                found[:4] = min(found[0], x0), min(found[1], y0), max(found[2], x1), max(found[3], y1)
+            found[4].append(place)
+        lines.sort(key=lambda s: (s[1], s[0]))
+        return (np.arange(len(lines)), *(np.array([s[k] for s in lines], np.int32) for k in range(4)), [s[4] for s in lines])
+
+    return per_page(tokens, page, ["pos", *BOX], ["y0", "x0", "pos"], one, "line long, x0 int, y0 int, x1 int, y1 int, places array<long>")
 
 
 def iou_pairs(a: DataFrame, b: DataFrame, least: float = 0.5, page: str = "page", cell: int = 128) -> DataFrame:
@@ -291,22 +365,29 @@ def aligned(pages: DataFrame, page: str, a: str, b: str) -> DataFrame:
 def x_clusters(tokens: DataFrame, least: int = 4, page: str = "doc_id") -> DataFrame:
     """Vertical clusters: each token, left to right, joins the first cluster that it shares half the narrower width with;
     clusters of fewer than least tokens are left out. (page, pos, cluster)."""
-    kinds = dict(tokens.dtypes)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x0", "y0", "pos"])
-        hull, out = np.zeros((0, 2)), []
-        for x0, x1 in pdf[["x0", "x1"]].itertuples(index=False):
-            shared = np.maximum(0, np.minimum(hull[:, 1], x1) - np.maximum(hull[:, 0], x0))
-            fit = shared / np.maximum(1, np.minimum(x1 - x0, hull[:, 1] - hull[:, 0])) >= 0.5
-            k = int(fit.argmax()) if fit.any() else len(hull)
-            hull = hull if fit.any() else np.vstack([hull, [x0, x1]])
-            hull[k] = min(hull[k, 0], x0), max(hull[k, 1], x1)
+    def one(pos, left, right):
+        n, live, out = 0, [], []  # live: clusters that end right of this token's begin; the others share nothing any more
+        for x0, x1 in zip(left.tolist(), right.tolist()):
+            k, gone = None, False
+            for hull in live:
+                if hull[2] <= x0:
+                    gone = True
+                elif (min(hull[2], x1) - x0) / max(1, min(x1 - x0, hull[2] - hull[1])) >= 0.5:
+                    k = hull[0]
+                    hull[2] = max(hull[2], x1)
+                    break
+            if gone:
+                live = [h for h in live if h[2] > x0]
+            if k is None:
+                k, n = n, n + 1
+                live.append([k, x0, x1])
             out.append(k)
-        pdf = pdf[[page, "pos"]].assign(cluster=out)
-        return pdf[pdf.groupby("cluster").pos.transform("size") >= least]
+        out = np.array(out, np.int64)
+        keep = np.bincount(out)[out] >= least
+        return pos[keep], out[keep]
 
-    return tokens.groupBy(page).applyInPandas(one, f"{page} {kinds[page]}, pos {kinds['pos']}, cluster long")
+    return per_page(tokens, page, ["pos", "x0", "x1"], ["x0", "y0", "pos"], one, f"pos {dict(tokens.dtypes)['pos']}, cluster long")
 
 
 def date_majority(tokens: DataFrame, share: float = 0.7) -> DataFrame:
