@@ -64,7 +64,7 @@ def digit_string(text: Column) -> Column:
 
 def digits_only(text: Column) -> Column:
     """Digits of any script in a row, as they are."""
-    return F.array_join(F.regexp_extract_all(text, F.lit(r"\p{Nd}+"), F.lit(0)), "")
+    return F.regexp_replace(text, r"\P{Nd}+", "")
 
 
 def digits_devanagari(text: Column) -> Column:
@@ -268,14 +268,18 @@ def token_error_kind(gt: Column, hyp: Column) -> Column:
     """Kind of a misread token: digit (other numbers), order (same characters), unrelated (none shared), matra, consonant,
     other."""
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    signs = lambda x: F.array_sort(F.array_distinct(F.filter(chars(x), lambda c: c.rlike("[ा-्ॢॣ]"))))
-    cons = lambda x: F.array_sort(F.array_distinct(F.filter(chars(x), lambda c: c.rlike("[क-ह]"))))
+    # characters are compared as sets by leaving those of one text out of the other; arrays of them are made where only that decides
+    less = lambda x, y: F.call_function("translate", x, y, F.lit(""))
+    same = lambda x, y: (less(x, y) == "") & (less(y, x) == "")
+    signs = lambda x: F.regexp_replace(x, "[^ा-्ॢॣ]", "")
+    cons = lambda x: F.regexp_replace(x, "[^क-ह]", "")
+    numbers = lambda x: F.when(x.rlike("[0-9०-९]"), digit_string(x)).when(x.isNotNull(), "")
     return (
-        F.when(digit_string(gt) != digit_string(hyp), "digit")
-        .when(F.array_sort(chars(gt)) == F.array_sort(chars(hyp)), "order")
-        .when(F.size(F.array_intersect(chars(gt), chars(hyp))) == 0, "unrelated")
-        .when(signs(gt) != signs(hyp), "matra")
-        .when(cons(gt) != cons(hyp), "consonant")
+        F.when(numbers(gt) != numbers(hyp), "digit")
+        .when((F.length(gt) == F.length(hyp)) & same(gt, hyp) & (F.array_sort(chars(gt)) == F.array_sort(chars(hyp))), "order")
+        .when(less(gt, hyp) == gt, "unrelated")
+        .when(~same(signs(gt), signs(hyp)), "matra")
+        .when(~same(cons(gt), cons(hyp)), "consonant")
         .otherwise("other")
     )
 

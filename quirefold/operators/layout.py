@@ -10,6 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quirefold.functions.edits import similarity
 
@@ -23,13 +25,13 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 
 def per_page(tokens: DataFrame, page: str, columns: list[str], order: list[str], one, schema: str) -> DataFrame:
-    """one(columns of a page's rows in order, as Arrow arrays) for each page; it gives arrays of equal lengths, which become
+    """one(columns of a page's rows in order: numbers as numpy arrays, others as Arrow's) for each page; it gives arrays of equal lengths, which become
     rows of schema after the page. Pages come one after another, many in a batch, so a small page costs no call of Spark,
     and those dealt already stay where they are."""
     kind = dict(tokens.dtypes)[page]
     place = F.row_number().over(Window.partitionBy(page).orderBy(*order))
     rows = tokens.select(page, *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)), place.alias("_k"))
-    names = [part.split()[0] for part in schema.split(", ")]
+    names, types = [part.split()[0] for part in schema.split(", ")], [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
 
     def whole(batches):
         """Batches cut before the first row of a page, but for pages of more than a batch, which are put together."""
@@ -52,15 +54,11 @@ def per_page(tokens: DataFrame, page: str, columns: list[str], order: list[str],
             table = table.to_batches()[0]
             starts = np.flatnonzero(table.column(table.num_columns - 1).to_numpy() == 1)
             ends = np.append(starts[1:], table.num_rows)
-            own = [table.column(i + 1) for i in range(len(columns))]
-            if not any(pa.types.is_string(c.type) or c.null_count for c in own):
-                own = [c.to_numpy() for c in own]
-                found = [one(*(c[i:j] for c in own)) for i, j in zip(starts, ends)]
-            else:
-                found = [one(*(c.slice(i, j - i) if isinstance(c, pa.Array) and pa.types.is_string(c.type) else c.slice(i, j - i).to_numpy(zero_copy_only=False) for c in own)) for i, j in zip(starts, ends)]
+            own = [c.to_numpy(zero_copy_only=False) if pa.types.is_primitive(c.type) else c for c in (table.column(i + 1) for i in range(len(columns)))]
+            found = [one(*(c[i:j] for c in own)) for i, j in zip(starts, ends)]
             key = table.column(0).take(pa.array(np.repeat(starts, [len(f[0]) for f in found])))
             parts = [[f[k] for f in found] for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([key, *(pa.array([x for p in part for x in p]) if isinstance(part[0], list) else pa.array(np.concatenate(part)) for part in parts)], [page, *names])
+            yield pa.RecordBatch.from_arrays([key, *(pa.array([x for p in part for x in p], kind) if isinstance(part[0], list) else pa.array(np.concatenate(part), kind) for part, kind in zip(parts, types))], [page, *names])
 
     return rows.mapInArrow(run, f"{page} {kind}, {schema}")
 
