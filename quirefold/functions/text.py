@@ -45,6 +45,12 @@ def norm_tokens(text: Column, empty: bool = False) -> Column:
     return found if empty else F.filter(found, lambda t: t != "")
 
 
+def distinct_tokens(text: Column, empty: bool = False) -> Column:
+    """The different ones of norm_tokens; a token that occurs again is normalised once."""
+    found = F.array_distinct(F.transform(F.array_distinct(tokens(text)), norm_token))
+    return found if empty else F.filter(found, lambda t: t != "")
+
+
 def has_digit(text: Column) -> Column:
     return text.rlike(r"\p{Nd}")
 
@@ -267,21 +273,9 @@ def truncate_words(text: Column, most: int = 60, floor: int = 20) -> Column:
 def token_error_kind(gt: Column, hyp: Column) -> Column:
     """Kind of a misread token: digit (other numbers), order (same characters), unrelated (none shared), matra, consonant,
     other."""
-    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    # characters are compared as sets by leaving those of one text out of the other; arrays of them are made where only that decides
-    less = lambda x, y: F.call_function("translate", x, y, F.lit(""))
-    same = lambda x, y: (less(x, y) == "") & (less(y, x) == "")
-    signs = lambda x: F.regexp_replace(x, "[^ा-्ॢॣ]", "")
-    cons = lambda x: F.regexp_replace(x, "[^क-ह]", "")
-    numbers = lambda x: F.when(x.rlike("[0-9०-९]"), digit_string(x)).when(x.isNotNull(), "")
-    return (
-        F.when(numbers(gt) != numbers(hyp), "digit")
-        .when((F.length(gt) == F.length(hyp)) & same(gt, hyp) & (F.array_sort(chars(gt)) == F.array_sort(chars(hyp))), "order")
-        .when(less(gt, hyp) == gt, "unrelated")
-        .when(~same(signs(gt), signs(hyp)), "matra")
-        .when(~same(cons(gt), cons(hyp)), "consonant")
-        .otherwise("other")
-    )
+    from .udfs import token_error_kinds
+
+    return token_error_kinds(gt, hyp)
 
 
 def canonical_label(action: Column, original: Column, corrected: Column) -> Column:

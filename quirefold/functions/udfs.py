@@ -1,6 +1,7 @@
 """Functions that columns cannot express, over Arrow batches."""
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from .edits import distances
-from .text import DIGIT_RUN
+from .text import DEVA_DIGITS, DIGIT_RUN, LATIN_DIGITS
+
+FOLD, RUN = str.maketrans(DEVA_DIGITS, LATIN_DIGITS), re.compile(DIGIT_RUN)
+SIGNS, CONSONANTS = frozenset(map(chr, [*range(0x93E, 0x94E), 0x962, 0x963])), frozenset(map(chr, range(0x915, 0x93A)))
 
 
 @F.pandas_udf(StringType())
@@ -30,10 +34,7 @@ def label_nfc(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StructType().add("run", StringType()).add("start", IntegerType()).add("end", IntegerType())))
 def runs_with_spans(text: pd.Series) -> pd.Series:
-    import re
-
-    run = re.compile(DIGIT_RUN)
-    return text.map(lambda x: [{"run": m[0], "start": m.start(), "end": m.end()} for m in run.finditer(x or "")])
+    return text.map(lambda x: [{"run": m[0], "start": m.start(), "end": m.end()} for m in RUN.finditer(x or "")])
 
 
 def word_edits(a: list[str], b: list[str]) -> int:
@@ -57,6 +58,30 @@ def wer_words(gt: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series(np.where(n > 0, d / np.maximum(n, 1), (d > 0).astype(float)))
 
 
+def error_kind(gt: str | None, hyp: str | None) -> str:
+    if gt is None or hyp is None:
+        return "other"
+    numbers = lambda x: [r.translate(FOLD) for r in RUN.findall(x)]
+    own = lambda x, chars: set(x) & chars
+    if numbers(gt) != numbers(hyp):
+        return "digit"
+    if sorted(gt) == sorted(hyp):
+        return "order"
+    if not set(gt) & set(hyp):
+        return "unrelated"
+    return "matra" if own(gt, SIGNS) != own(hyp, SIGNS) else "consonant" if own(gt, CONSONANTS) != own(hyp, CONSONANTS) else "other"
+
+
+@F.pandas_udf(StringType())
+def token_error_kinds(gt: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Kinds of misread tokens; of equal pairs one is judged."""
+    found: dict = {}
+    for pair in zip(gt, hyp):
+        if pair not in found:
+            found[pair] = error_kind(*pair)
+    return pd.Series([found[pair] for pair in zip(gt, hyp)], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def ctc_decode(ids: pd.Series, charset: pd.Series) -> pd.Series:
     """Text of a sequence of class ids: repeats collapse, 0 is blank, k is the k-th character of the charset."""

@@ -35,7 +35,7 @@ def bag_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def truth_tokens(texts: DataFrame, page: str, text: str, empty: bool = True) -> DataFrame:
     """Distinct (page, t) normalised tokens of the truth."""
-    return texts.select(page, F.explode(T.norm_tokens(F.col(text), empty)).alias("t")).distinct()
+    return texts.select(page, F.explode(T.distinct_tokens(F.col(text), empty)).alias("t")).distinct()
 
 
 def marked(tokens: DataFrame, truth: DataFrame, page: str = "doc_id") -> DataFrame:
@@ -103,7 +103,7 @@ def queue_stats(tokens: DataFrame, ranks: tuple[int, ...] = (5, 10), page: str =
 
 def agreement(readings: DataFrame, page: str = "doc_id") -> DataFrame:
     """Per page of readings(page, reading, text): tokens in any reading, in every reading, and their ratio."""
-    each = readings.select(page, "reading", F.explode(T.norm_tokens(F.col("text"))).alias("t"))
+    each = readings.select(page, "reading", F.explode(T.distinct_tokens(F.col("text"))).alias("t"))
     n = readings.groupBy(page).agg(F.countDistinct("reading").alias("readings"))
     seen = each.groupBy(page, "t").agg(F.countDistinct("reading").alias("k")).join(n, page)
     got = seen.groupBy(page).agg(F.count("*").alias("union_tokens"), F.count(F.when(F.col("k") == F.col("readings"), 1)).alias("agreed_tokens"))

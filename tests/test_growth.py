@@ -66,3 +66,28 @@ def test_tokens_stay_with_their_page(spark, name):
     asked = re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE_REQUIREMENTS", plan)
     assert not [e for e in asked if "doc_id" in e or "page" in e]
     assert "Union" not in plan  # of dealt rows it may lose where they lie
+
+
+def test_error_kinds_and_distinct_tokens(spark):
+    from quirefold.functions import text as T
+    from quirefold.functions.udfs import error_kind
+
+    cases = [("12 क", "13 क", "digit"), ("कख", "खक", "order"), ("कख", "गघ", "unrelated"), ("कि", "की", "matra"), ("कि", "कखि", "consonant"), ("abc", "abd", "other"), (None, "a", "other")]
+    df = spark.createDataFrame(cases, "g string, h string, kind string")
+    assert all(r.found == r.kind for r in df.select("kind", T.token_error_kind(df.g, df.h).alias("found")).collect())
+    assert [error_kind(g, h) for g, h, _ in cases] == [k for *_, k in cases]
+    df = spark.createDataFrame([("A a, b!  B .",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(T.distinct_tokens(df.text)).collect()] == [["a", "b"], [], None]
+
+
+def test_pages_across_batches(spark):
+    from quirefold.operators.layout import per_page
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(p, k) for p, n in ((1, 3), (2, 20), (None, 5), (3, 7), (4, 1)) for k in range(n)]
+        df = spark.createDataFrame(rows, "page long, k long")
+        got = per_page(df, "page", ["k"], ["k"], lambda k: (k[:1] * 0 + len(k), k[-1:]), "n long, last long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, got)) == sorted(f"Row(page={p}, n={n}, last={n - 1})" for p, n in ((1, 3), (2, 20), (None, 5), (3, 7), (4, 1)))
